@@ -16,8 +16,10 @@ import gc
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,6 +277,29 @@ def worker_encoder(source) -> Encoder:
     return _BY_KEY[key]
 
 
+_LIBRARY: dict[str, Callable[[str], np.ndarray]] = {}
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def worker_library(source) -> Callable[[str], np.ndarray]:
+    """A library's encoder of the same vocabulary, text to ids, for operators that want ids and no more.
+
+    It takes tokens by rank, so ids must rise with the merges; for other vocabularies the trie encodes.
+    """
+    key, data = source.value
+    if key not in _LIBRARY:
+        own = Encoder(data)
+        rising = [i for i, made in sorted(enumerate(own.made), key=lambda x: x[1]) if made >= 0]
+        if rising == sorted(rising) and all(i < rising[0] for b, i in own.ids.items() if len(b) == 1):
+            import tiktoken
+
+            library = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=own.ids, special_tokens=own.special)
+            _LIBRARY[key] = lambda text: library.encode_to_numpy(text, allowed_special="all")
+        else:
+            _LIBRARY[key] = lambda text: np.array(own.encode_batch([text])[0], np.uint32)
+    return _LIBRARY[key]
+
+
 def broadcast_vocabulary(spark: SparkSession, path: str):
     """A vocabulary file is of fixed size (a few MB), whatever the corpus."""
     with open(path, "rb") as f:

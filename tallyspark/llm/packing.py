@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.bpe import broadcast_vocabulary, default_vocabulary, worker_encoder
+from tallyspark.llm.bpe import broadcast_vocabulary, default_vocabulary, worker_library
 from tallyspark.llm.common import cut, map_slices, ship, table
 
 #: Pieces that one partition packs, on average.
@@ -37,9 +37,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, part, start, length, crc = [], [], [], [], []
-        for k, ids in enumerate(worker_encoder(source).encode_batch(batch.column(1).to_pylist())):
-            ids.append(end)
-            data = memoryview(np.array(ids, dtype="<u4").tobytes())
+        encode = worker_library(source)
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            ids = np.append(encode(text or ""), np.uint32(end))
+            data = memoryview(ids.astype("<u4").tobytes())
             at, n = 0, len(ids)
             to, j = (n - 1) % capacity + 1, 0
             while at < n:
