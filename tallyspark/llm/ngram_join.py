@@ -2,8 +2,9 @@
 
 A set's n-grams are put in one global order: n-grams that repeat within blocks of the corpus come last, by
 their counted frequency, all others by hash. Two sets that reach the threshold t share an n-gram among the
-first |x| - ceil(t |x|) + 1 of each, so sets that share no such n-gram never meet. Sets that do are gathered
-under the smallest set of the run that shares it; there they are stored in prefix trees, one forest for each
+first |x| - ceil(t |x|) + 1 of each, so sets that share no such n-gram never meet. Sets that do, directly or
+through others, make a block; a block too large for a task is cut into the runs that share an n-gram, each
+under its smallest set. There they are stored in prefix trees, one forest for each
 component found so far. A set walks the trees with the overlap so far, and a subtree is left when overlap and
 the rest of the shorter side can't reach the threshold. What is already connected is not compared again.
 
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +36,25 @@ FREQUENT = 65_536
 BLOCK = 2_000_000
 #: N-grams of all sets that one task compares; larger runs are dealt out by pairs of parts.
 TASK = 1_500_000
-_WORDS = 300_000
-_M = np.uint64(0x9E3779B97F4A7C15)
+#: Ids that are broadcast at most, of 8 bytes each.
+SMALL = 200_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+#: Bytes of text that are hashed at once.
+_PIECE = 1 << 20
+_P = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-_HASH = _Words()
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_P, _PIECE), _powers(pow(_P, -1, 1 << 64), _PIECE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,18 +63,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
-    """The sorted hashes of a text's distinct word n-grams."""
-    words = (text or "").encode().lower().split()  # of bytes: lower() has A-Z only, split() the six ASCII white spaces
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    x = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        x = (x ^ h[i : len(h) - k + 1 + i]) * _M
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of data, which ends with a space: sums of powers, by differences of running sums."""
+    starts_, hashes = [], []
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + _PIECE)
+        if to < len(data):
+            space = data.rfind(b" ", at, to)
+            to = space + 1 if space >= 0 else data.index(b" ", to) + 1
+        piece = np.frombuffer(data, np.uint8, to - at, at)
+        space = _SPACE[piece]
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        n = len(piece)
+        up, down = (_UP, _DOWN) if n <= _PIECE else (_powers(_P, n), _powers(pow(_P, -1, 1 << 64), n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * up[:n], out=sums[1:])
+        hashes.append(_mix((sums[ends] - sums[starts]) * down[starts]))
+        starts_.append(starts + at)
+        at = to
+    return np.concatenate(starts_), np.concatenate(hashes)
+
+
+def ngram_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct word n-grams."""
+    if not texts:
+        return []
+    # of bytes: lower() changes A-Z only
+    encoded = [(t or "").encode().lower() for t in texts]
+    begin = np.cumsum([0] + [len(e) + 1 for e in encoded])
+    start, h = _words(b" ".join(encoded) + b" ")
+    first = np.searchsorted(start, begin)  # of each text's words
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    grams = np.empty(0, np.uint64)
+    if len(h) >= n:
+        grams = _grams(h, n)
+        grams = grams[of[: len(grams)] == of[n - 1 :]]
+    words = np.diff(first)
+    last = np.cumsum(np.maximum(words - n + 1, 0))
+    out = []
+    for k, m in enumerate(words.tolist()):
+        if m >= n:
+            out.append(np.unique(grams[last[k] - m + n - 1 : last[k]]))
+        else:
+            out.append(_grams(h[first[k] : first[k] + m], m) if m else np.empty(0, np.uint64))
+    return out
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    x = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        x = (x ^ h[i : len(h) - n + 1 + i]) * np.uint64(_P)
         x ^= x >> np.uint64(29)
-    return np.unique(_mix(x))
+    return _mix(x)
+
+
+def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
+    return ngram_sets([text], n)[0]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -118,8 +170,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             sizes, sets = [], []
-            for text in part.column(1).to_pylist():
-                tokens = ngram_set(text, n)
+            for tokens in ngram_sets(part.column(1).to_pylist(), n):
                 sizes.append(len(tokens))
                 sets.append(set_id(tokens) if len(tokens) else None)
                 held.append(tokens)
@@ -139,8 +190,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Or
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             tokens_, sets, sizes, times = [], [], [], []
-            for text in batch.column(0).slice(at, 1024).to_pylist():
-                tokens = ngram_set(text, n)
+            for tokens in ngram_sets(batch.column(0).slice(at, 1024).to_pylist(), n):
                 if not len(tokens) or (s := set_id(tokens)) in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -291,8 +341,7 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def _compare(texts: list[str | None], n: int, percent: int, order: Order) -> tuple[list[int], list[int]]:
     distinct: dict[int, np.ndarray] = {}
-    for text in texts:
-        tokens = ngram_set(text, n)
+    for tokens in ngram_sets(texts, n):
         if len(tokens):
             distinct.setdefault(set_id(tokens), tokens)
     if len(distinct) < 2:
@@ -321,10 +370,19 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     entries = docs.where("id is not null").select("text").mapInArrow(lambda it: _prefixes(it, n, percent, order.value), "token long, s long, n int")
     runs = entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(lambda it: _runs(it, percent), "leader long, i int, j int, s long")
     groups = cut(runs.distinct())
-    heads = rows.where("s is not null and id is not null").groupBy("s").agg(F.min("id").alias("id"))
-    members = groups.join(heads, "s").select("leader", "i", "j", "id")
+    heads = cut(rows.where("s is not null and id is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    # sets that runs bring together directly or through others make a block; a block that fits a task is compared
+    # there as a whole, each set once; of larger ones, those under each leader
+    blocks = components(groups.select("leader", "s"), "leader", "s").select(F.col("node").alias("s"), F.col("root").alias("block"))
+    sized = cut(blocks.join(heads, "s"))
+    large = sized.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > TASK).select("block")
+    small = sized.join(large, "block", "left_anti").select(F.col("block").alias("leader"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "id")
+    rest = groups.join(sized.join(large, "block", "left_semi").select("s", "id"), "s").select("leader", "i", "j", "id")
+    members = cut(small.unionByName(rest))
+    wanted = members.select("id").distinct()
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "id")
     edges = cut(
-        members.join(docs, "id")
+        members.join(texts, "id")
         .select("leader", "i", "j", "text")
         .groupBy("leader", "i", "j")
         .applyInPandas(lambda pdf: pd.DataFrame(dict(zip("ab", _compare(pdf["text"].tolist(), n, percent, order.value), strict=True)), dtype="int64"), "a long, b long")
