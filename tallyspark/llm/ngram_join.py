@@ -2,11 +2,11 @@
 
 A set's n-grams are put in one global order: n-grams that repeat within blocks of the corpus come last, by
 their counted frequency, all others by hash. Two sets that reach the threshold t share an n-gram among the
-first |x| - ceil(t |x|) + 1 of each, so sets that share no such n-gram never meet. Sets that do, directly or
-through others, make a block; a block too large for a task is cut into the runs that share an n-gram, each
-under its smallest set. There they are stored in prefix trees, one forest for each
-component found so far. A set walks the trees with the overlap so far, and a subtree is left when overlap and
-the rest of the shorter side can't reach the threshold. What is already connected is not compared again.
+first |x| - ceil(t |x|) + 1 of each, and r of them if r - 1 more are taken; so sets that share fewer with all
+others of fitting size never meet. Sets that share as many, directly or through others, make a block; a block too large for a task is cut into the runs that share an n-gram, each
+under its smallest set. There they are stored in a prefix tree. A set walks those paths of the tree that hold
+sets which share one of its first n-grams, with the overlap so far, and a subtree is left when overlap and the
+rest of the shorter side can't reach the threshold. What is already connected is not compared again.
 
 Exact copies of a set are one node. The order only steers the work: links don't depend on it. N-grams and
 sets are told apart by 64-bit hashes.
@@ -35,7 +35,7 @@ FREQUENT = 65_536
 #: N-grams that are counted together before those met once are let go.
 BLOCK = 2_000_000
 #: N-grams of all sets that one task compares; larger runs are dealt out by pairs of parts.
-TASK = 1_500_000
+TASK = 6_000_000
 #: Ids that are broadcast at most, of 8 bytes each.
 SMALL = 200_000
 
@@ -132,6 +132,20 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def more(n: int) -> int:
+    """How many n-grams, at least, a set of n shares with a set of its size or more that it links with, among their first ones.
+
+    The first n - need(n) + more(n) are taken: what they leave out is more(n) less than any overlap, so that
+    many of the overlap are among them; and as all sets follow one order, those are the first of the overlap
+    for both sets of a pair, which share the smaller set's number at least.
+    """
+    return 1 + n // 20
+
+
+def taken(n: int, percent: int) -> int:
+    return min(n, n - need(n, percent) + more(n))
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -196,7 +210,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Or
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(s)
-                first = order.sort(tokens)[: len(tokens) - need(len(tokens), percent) + 1]
+                first = order.sort(tokens)[: taken(len(tokens), percent)]
                 tokens_.append(first)
                 sets.append(s)
                 sizes.append(len(tokens))
@@ -208,8 +222,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: Or
                 )
 
 
+_RUN = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """leader, i, j, s from rows sorted by token and size: where the sets of each run that sizes let link are compared."""
+    """leader, i, j, s, c from rows sorted by token and size: where the sets of each run that sizes let link are compared; of how many n-grams."""
 
     def emit(token: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
         # a run ends where the token changes, or where sizes are too far apart for any pair across to link
@@ -228,17 +245,17 @@ def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         out: list[list[np.ndarray]] = []
         one = parts == 1
         zero = np.zeros(int(one.sum()), np.int32)
-        out.append([leader[one], zero, zero, s[one]])
+        out.append([leader[one], zero, zero, s[one], zero + 1])
         for k in np.unique(parts[~one]).tolist():  # part i meets part j, for each i <= j
             k_ = 1 << (k - 1).bit_length()
             of = parts == k
             part = (s[of].view(np.uint64) % np.uint64(k_)).astype(np.int32)
             for j in range(k_):
                 i_, j_ = np.minimum(part, j), np.maximum(part, j)
-                out.append([leader[of], (i_ + k_).astype(np.int32), (j_ + k_).astype(np.int32), s[of]])
+                out.append([leader[of], (i_ + k_).astype(np.int32), (j_ + k_).astype(np.int32), s[of], (part == j).astype(np.int32)])
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        frame = pd.DataFrame(dict(zip("lijs", cols, strict=True))).drop_duplicates()
-        return pa.RecordBatch.from_arrays([pa.array(frame[c].to_numpy()) for c in "lijs"], names=["leader", "i", "j", "s"])
+        frame = pd.DataFrame(dict(zip("lijsc", cols, strict=True))).groupby(list("lijs"), sort=False, as_index=False)["c"].sum()
+        return pa.RecordBatch.from_arrays([pa.array(frame[c].to_numpy(), k) for c, k in zip("lijsc", _RUN, strict=True)], names=["leader", "i", "j", "s", "c"])
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -259,84 +276,155 @@ def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 
 class Tree:
-    """A prefix tree with compressed edges over sets that are sorted in the order of their (local) ranks."""
-
-    __slots__ = ("edge", "below", "shortest", "longest", "ends")
-
-    def __init__(self, edge: np.ndarray, size: int, ends: bool):
-        self.edge, self.below, self.shortest, self.longest, self.ends = edge, {}, size, size, ends
-
-    def insert(self, x: np.ndarray) -> None:
-        node, at = self, 0
-        while True:
-            node.shortest, node.longest = min(node.shortest, len(x)), max(node.longest, len(x))
-            if at == len(x):
-                node.ends = True
-                return
-            below = node.below.get(int(x[at]))
-            if below is None:
-                node.below[int(x[at])] = Tree(x[at:], len(x), True)
-                return
-            edge = below.edge
-            k = min(len(edge), len(x) - at)
-            differ = np.flatnonzero(edge[:k] != x[at : at + k])
-            same = int(differ[0]) if len(differ) else k
-            if same < len(edge):  # the edge is split where the sets part
-                upper = Tree(edge[:same], below.shortest, False)
-                upper.longest = below.longest
-                below.edge = edge[same:]
-                upper.below[int(below.edge[0])] = below
-                node.below[int(x[at])] = below = upper
-            node, at = below, at + same
-
-    def links(self, x: np.ndarray, percent: int) -> bool:
-        """Whether a set of the tree has percent of the union with x in common."""
-        n = len(x)
-        stack = [(node, 0, 0) for node in self.below.values()]
-        while stack:
-            node, depth, overlap = stack.pop()
-            # of sizes in this subtree only those within the threshold of n count
-            low = max(node.shortest, need(n, percent))
-            high = min(node.longest, 100 * n // percent)
-            if low > high:
-                continue
-            edge = node.edge
-            at = np.searchsorted(x, edge)
-            overlap += int((x[np.minimum(at, n - 1)] == edge).sum())
-            depth += len(edge)
+    """A prefix tree with compressed edges over sets, given as sorted arrays of one order's ranks (0 to universe - 1).
+
+    Nodes are kept by level, so that a walk takes a level's nodes at once: `tokens` has their edges one after the
+    other. Leaves are the sets; a set that is the beginning of another ends at a leaf of its own without tokens.
+    """
+
+    def __init__(self, sets: list[np.ndarray], universe: int):
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">i4").tobytes())
+        self.mark = np.zeros(universe, bool)
+        # nodes as they are found along the sorted sets: (parent, depth above, depth, set, first token's place)
+        parent, above, depth, of = [-1], [0], [0], [0]
+        leaf = [-1]
+        path = [0]
+        before: np.ndarray | None = None
+        for k in order:
+            x, same = sets[k], 0
+            if before is not None:
+                m = min(len(before), len(x))
+                differ = np.flatnonzero(before[:m] != x[:m])
+                same = int(differ[0]) if len(differ) else m
+            last = -1
+            while depth[path[-1]] > same or leaf[path[-1]] >= 0:
+                last = path.pop()
+            if depth[path[-1]] < same:  # the edge is split where the sets part
+                parent.append(path[-1])
+                above.append(depth[path[-1]])
+                depth.append(same)
+                of.append(k)
+                leaf.append(-1)
+                parent[last], above[last] = len(parent) - 1, same
+                path.append(len(parent) - 1)
+            parent.append(path[-1])
+            above.append(depth[path[-1]])
+            depth.append(len(x))
+            of.append(k)
+            leaf.append(k)
+            path.append(len(parent) - 1)
+            before = x
+        up, leaf_ = np.array(parent), np.array(leaf)
+        level = np.zeros(len(up), np.int64)
+        at = up.copy()
+        while (at >= 0).any():
+            level[at >= 0] += 1
+            at = np.where(at >= 0, up[at], -1)
+        by = np.argsort(level, kind="stable")  # nodes are numbered by level from here on
+        number = np.empty_like(by)
+        number[by] = np.arange(len(by))
+        level = level[by]
+        self.up = np.where(up[by] >= 0, number[up[by]], -1)
+        self.leaf = leaf_[by]
+        self.starts = np.searchsorted(level, np.arange(int(level[-1]) + 2))
+        self.node_of = np.empty(len(sets), np.int64)
+        self.node_of[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
+        sizes = np.array([len(x) for x in sets])
+        self.shortest = np.where(self.leaf >= 0, sizes[self.leaf], 1 << 40)
+        self.longest = np.where(self.leaf >= 0, sizes[self.leaf], 0)
+        for k in range(len(self.starts) - 2, 0, -1):
+            here = slice(self.starts[k], self.starts[k + 1])
+            np.minimum.at(self.shortest, self.up[here], self.shortest[here])
+            np.maximum.at(self.longest, self.up[here], self.longest[here])
+        edges = [sets[of[v]][above[v] : depth[v]] if v else sets[0][:0] for v in by.tolist()]
+        self.size = np.array([len(e) for e in edges])
+        self.first = np.cumsum(self.size) - self.size
+        self.tokens = np.concatenate(edges)
+        self.ends = np.array([int(e[-1]) if len(e) else -1 for e in edges])
+        self.depth = np.array(depth)[by]
+        self.overlap = np.zeros(len(by), np.int64)
+        self.alive, self.on = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        self.on[0] = True
+
+    def links(self, x: np.ndarray, percent: int, leaves: np.ndarray) -> np.ndarray:
+        """Those of the given sets that have percent of the union with x in common."""
+        n, out = len(x), []
+        at = self.node_of[leaves]
+        if 8 * len(at) > len(self.up):
+            chosen = np.arange(len(self.up))
+        else:
+            while len(at):
+                self.on[at] = True
+                at = self.up[at]
+                at = at[~self.on[at]]
+            chosen = np.flatnonzero(self.on)
+            self.on[chosen] = False
+            self.on[0] = True
+        self.mark[x] = True
+        self.alive[chosen] = False
+        self.alive[0], self.overlap[0] = True, 0
+        cuts = np.searchsorted(chosen, self.starts)
+        for k in range(1, len(self.starts) - 1):
+            go = chosen[cuts[k] : cuts[k + 1]]
+            if not len(go):
+                break
+            low, high = np.maximum(self.shortest[go], need(n, percent)), np.minimum(self.longest[go], 100 * n // percent)
+            some = self.alive[self.up[go]] & (low <= high)
+            go, low, high = go[some], low[some], high[some]
+            if not len(go):
+                break
+            # the overlap along each edge, from a running count over the edges' tokens
+            sizes, first = self.size[go], self.first[go]
+            span = int(first[-1] + sizes[-1] - first[0])
+            total = int(sizes.sum())
+            if 2 * total > span:
+                to = first - first[0] + sizes
+                some_tokens = self.tokens[first[0] : first[0] + span]
+            else:
+                to = np.cumsum(sizes)
+                some_tokens = self.tokens[np.repeat(first - (to - sizes), sizes) + np.arange(total)]
+            count = np.zeros(len(some_tokens) + 1, np.int32)
+            np.cumsum(self.mark[some_tokens], dtype=np.int32, out=count[1:])
+            so_far = self.overlap[self.up[go]] + count[to] - count[to - sizes]
+            self.overlap[go] = so_far
+            done, depth = self.leaf[go] >= 0, self.depth[go]
+            hit = done & (100 * so_far >= percent * (n + depth - so_far))
+            out.append(self.leaf[go[hit]])
+            left = np.minimum(n - np.searchsorted(x, self.ends[go], "right"), high - depth)
             least = -(-percent * (n + low) // (100 + percent))
-            if node.ends and 100 * overlap >= percent * (n + depth - overlap):
-                return True
-            if overlap + min(n - int(np.searchsorted(x, edge[-1], "right")), high - depth) >= least:
-                stack.extend((below, depth, overlap) for below in node.below.values())
-        return False
+            self.alive[go[~done & (so_far + left >= least)]] = True
+        self.mark[x] = False
+        return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each of distinct sets (sorted arrays of one order's ranks), the first set that it is connected with."""
-    parent = list(range(len(sets)))
-    forests: dict[int, list[Tree]] = {}  # of each component so far
+    if len(sets) < 2:
+        return list(range(len(sets)))
+    universe = 1 + max((int(x[-1]) for x in sets if len(x)), default=0)
+    tree = Tree(sets, universe)
+    # by each n-gram, the sets that have it among their first ones: only those can link
+    firsts = [x[: taken(len(x), percent)] for x in sets]
+    holder = np.repeat(np.arange(len(sets)), [len(f) for f in firsts])
+    gram = np.concatenate(firsts)
+    by = np.argsort(gram, kind="stable")
+    holder = holder[by]
+    begin = np.searchsorted(gram[by], np.arange(universe + 1))
+    sizes = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+    met = np.zeros(len(sets), bool)
     for k, x in enumerate(sets):
-        met = [r for r, trees in sorted(forests.items(), key=lambda f: -len(f[1])) if any(t.links(x, percent) for t in trees)]
-        root = min(met, default=k)
-        trees = [t for r in met for t in forests.pop(r)]
-        for r in met:
-            parent[r] = root
-        parent[k] = root
-        if trees:
-            trees[0].insert(x)
-        else:
-            top = Tree(np.empty(0, x.dtype), len(x), False)
-            top.insert(x)
-            trees = [top]
-        forests[root] = trees
-    out = []
-    for k in range(len(sets)):
-        r = k
-        while parent[r] != r:
-            r = parent[r]
-        out.append(r)
-    return out
+        a, n = begin[firsts[k]], begin[firsts[k] + 1] - begin[firsts[k]]
+        met[holder[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
+        others = np.flatnonzero(met)
+        met[others] = False
+        others = others[(root[others] != root[k]) & (100 * sizes[others] >= percent * len(x)) & (100 * len(x) >= percent * sizes[others])]
+        others = others[others > k]  # each pair is met from its first set
+        if len(others):
+            for other in np.unique(root[tree.links(x, percent, others)]).tolist():
+                a, b = min(other, root[k]), max(other, root[k])
+                root[root == b] = a
+    return root.tolist()
 
 
 def _compare(texts: list[str | None], n: int, percent: int, order: Order) -> tuple[list[int], list[int]]:
@@ -368,16 +456,20 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         Order(np.array([r["a"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64))
     )
     entries = docs.where("id is not null").select("text").mapInArrow(lambda it: _prefixes(it, n, percent, order.value), "token long, s long, n int")
-    runs = entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(lambda it: _runs(it, percent), "leader long, i int, j int, s long")
-    groups = cut(runs.distinct())
+    runs = entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(lambda it: _runs(it, percent), "leader long, i int, j int, s long, c int")
+    runs = cut(runs.groupBy("leader", "i", "j", "s").agg(F.sum("c").alias("c")))
     heads = cut(rows.where("s is not null and id is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    # only sets that share so many of their first n-grams with others can link
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
+    likely = runs.groupBy("s").agg(F.sum("c").alias("c")).join(heads, "s").where(F.col("c") >= F.least(least, F.ceil(F.col("n") * percent / 100))).select("s", "id", "n")
+    groups = cut(runs.join(likely, "s").select("leader", "i", "j", "s", "id", "n"))
     # sets that runs bring together directly or through others make a block; a block that fits a task is compared
     # there as a whole, each set once; of larger ones, those under each leader
     blocks = components(groups.select("leader", "s"), "leader", "s").select(F.col("node").alias("s"), F.col("root").alias("block"))
-    sized = cut(blocks.join(heads, "s"))
+    sized = cut(blocks.join(groups.select("s", "id", "n").distinct(), "s"))
     large = sized.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > TASK).select("block")
     small = sized.join(large, "block", "left_anti").select(F.col("block").alias("leader"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "id")
-    rest = groups.join(sized.join(large, "block", "left_semi").select("s", "id"), "s").select("leader", "i", "j", "id")
+    rest = groups.join(sized.join(large, "block", "left_semi").select("s"), "s", "left_semi").select("leader", "i", "j", "id")
     members = cut(small.unionByName(rest))
     wanted = members.select("id").distinct()
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "id")
