@@ -45,13 +45,14 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, longest: int
     """Up to size texts of each class."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out())
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(marks, "doc_id")
-    rows = rows.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
-    out: list[tuple[str, int]] = []
-    for y in (0, 1):
-        part = rows.where(F.col("toxic") == y).orderBy("h", "doc_id", F.xxhash64("text")).limit(size)
-        out += [(r["text"], y) for r in part.collect()]
-    return out
+    fitting = docs.where(F.length("text") <= longest)
+    rows = fitting.select("doc_id").distinct().join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    picked = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(size).collect()]
+    if not picked:
+        return []
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picked], "doc_id long, toxic int, h long")
+    texts = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))  # 2 size ids at most
+    return [(r["text"], r["toxic"]) for r in sorted(texts.collect(), key=lambda r: (r["toxic"], r["h"], r["doc_id"]))]
 
 
 def features(word: str) -> list[str]:
