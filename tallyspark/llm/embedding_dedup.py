@@ -35,6 +35,8 @@ ROUNDS = 30
 TABLES, BITS = 4, 16
 #: Vectors of a bucket that one task holds on each side.
 PART = 1024
+#: Vectors of a bucket that is compared row by row, and vectors of a batch of buckets.
+SMALL, ROWS = 16, 4096
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +133,41 @@ def near_duplicates(
     entries = coded.select("uid", "label", "dim", F.explode(keys).alias("k")).select("uid", "label", "dim", "k.*")
     count = entries.groupBy(cell).agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
     count = count.where(((F.col("bit") < 0) & (F.col("n") > 1)) | ((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))
-    count = count.select(*cell, F.ceil(F.col("n") / PART).cast("long").alias("parts"))
+    count = cut(count.select(*cell, "n", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
     # a vector of part p goes to the cells (p, q) and (q, p) of its bucket
     part = F.pmod(F.xxhash64("uid"), F.col("parts"))
-    met = entries.join(count, cell).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = entries.join(count.drop("n"), cell).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("uid", *cell, "side", "p", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of many buckets: small ones all at once, by rows so many places apart; large ones by products of matrices."""
+        cell_ = [*cell, "low", "high"]
+        pdf = pdf.sort_values([*cell_, "uid"], ignore_index=True)
+        no = pdf.groupby(cell_, sort=False, dropna=False).ngroup().to_numpy()
+        size = np.bincount(no)[no]
+        out = [large(tuple(part[cell_].iloc[0]), part.reset_index(drop=True)) for _, part in pdf[size > SMALL].groupby(no[size > SMALL])]
+        pdf, no = pdf[size <= SMALL].reset_index(drop=True), no[size <= SMALL]
+        if len(pdf):
+            v, c = (np.stack([np.frombuffer(x, kind) for x in pdf[f]]) for f, kind in (("v", np.float64), ("code", np.int64)))
+            uid, t, bit, side, part, low, high = (pdf[f].to_numpy() for f in ("uid", "t", "bit", "side", "p", "low", "high"))
+            for d in range(1, SMALL):
+                i = np.flatnonzero(no[d:] == no[:-d])
+                j = i + d
+                if not len(i):
+                    break
+                ok = ((bit[i] < 0) | (side[i] != side[j])) & ((low[i] == high[i]) | (part[i] != part[j]))
+                i, j = i[ok], j[ok]
+                differ = c[i] ^ c[j]
+                first = ((differ & (differ - 1)) == 0).argmax(axis=1) == t[i]
+                here = differ[np.arange(len(i)), t[i]] == np.where(bit[i] < 0, 0, 1 << np.maximum(bit[i], 0).astype(np.int64))
+                i, j = i[first & here], j[first & here]
+                hit = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
+                i, j = uid[i[hit]], uid[j[hit]]
+                out.append(pd.DataFrame({"uid": np.concatenate([i, j]), "n": 1, "to": np.concatenate([j, i])}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"uid": [], "n": [], "to": []}, dtype="int64")
+
+    def large(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, bit, low, high = key[2], key[3], key[5], key[6]
-        pdf = pdf.sort_values("uid", ignore_index=True)
         pairs = []
         if bit < 0 and low == high:
             pairs.append((pdf, None))
@@ -171,7 +199,9 @@ def near_duplicates(
         uid = pdf["uid"].to_numpy()
         return pd.DataFrame({"uid": uid[of], "n": n[of], "to": uid[[find(x) for x in of.tolist()]] if len(of) else uid[of]})
 
-    found = met.join(coded.select("uid", "v", "code"), "uid").groupBy(*cell, "low", "high").applyInPandas(compare, "uid long, n long, to long")
+    rows = count.agg(F.sum(F.col("n") * F.col("parts")).alias("n")).collect()[0]["n"] or 0
+    batch = F.pmod(F.xxhash64(*cell, "low", "high"), F.lit(1 + rows // ROWS))  # buckets are compared by the batch
+    found = met.join(coded.select("uid", "v", "code"), "uid").withColumn("batch", batch).groupBy("batch").applyInPandas(compare, "uid long, n long, to long")
     found = cut(found)
     links = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
     roots = components(found.select("uid", "to"), "uid", "to").select(F.col("node").alias("uid"), "root")
