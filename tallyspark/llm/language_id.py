@@ -102,10 +102,16 @@ def fit(docs: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> TextMode
     """docs: doc_id, text, lang."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(200).collect()]
-    out = []
-    for lang in langs:
-        got = rows.where(F.col("lang") == lang).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(size)
-        out += [(r["text"], lang) for r in got.collect()]
+    picked = []
+    for lang in langs:  # ids first, so that no more than the sample's texts move
+        of = rows.where((F.col("lang") == lang) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        got = of.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
+        picked += [(r["doc_id"], lang) for r in got.collect()]
+    if not picked:
+        return TextModel([])
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
+    texts = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    out = [(r["text"], r["lang"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"]))]
     return TextModel(out)
 
 
