@@ -501,3 +501,18 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as t from s),
+l as (select a.doc_id as a, b.doc_id as b from e a join e b on a.t = b.t and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+      having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as low from r group by a)
+select cast(s.doc_id as bigint) as doc_id, cast(len(s.sh) as bigint) as n_shingles, cast(least(s.doc_id, coalesce(c.low, s.doc_id)) as bigint) as component_id
+from s left join c on c.a = s.doc_id
+"""

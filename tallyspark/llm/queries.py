@@ -27,6 +27,7 @@ QUERIES = {
 
 SQL = {
     "op4_topk": topk.SQL,
+    "op6_ngram_join": ngram_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_chat": chat.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
