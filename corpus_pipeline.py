@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier, the components and the packing have no SQL; tests hold the stages against brute force.
+#: The classifier, the sanitising and the packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
