@@ -17,6 +17,9 @@ from tallyspark.llm import line_dedup, ngram_join, packing, pii, toxicity
 from tallyspark.llm.bpe import default_vocabulary
 from tallyspark.llm.common import table
 
+#: Share of a source's pages above which a line is boilerplate to this pipeline; the README has what it was measured on.
+LINE_RATIO = 0.01
+
 
 def _recount(before: DataFrame, after: DataFrame) -> DataFrame:
     """after, with n_chars as long as its text where before has such a column."""
@@ -35,7 +38,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; documents stay."""
-    return _recount(docs, line_dedup.drop_lines(docs))
+    return _recount(docs, line_dedup.drop_lines(docs, ratio=LINE_RATIO))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
