@@ -3,10 +3,11 @@
 Four patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Around each mention
 stand terms that may give the entity away even when it is masked. How much a term t tells of an entity e is
 estimated from the whole corpus: with n(t) the number of times t occurs and n(t, e) the number of distinct
-contexts of e in which it stands, P(e | t) = n(t, e) / n(t), and the pointwise information
+contexts of e in which it stands, P(e | t) = (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR), and the pointwise information
 log2(P(e | t) / P(e)) is compared with the entity's own information -log2 P(e). A term is disclosing if their
-ratio exceeds DISCLOSURE, with at least SUPPORT contexts behind it. Within the contexts of the entity, a
-disclosing term is removed from the text if P(e | t) is at least REMOVE, else generalised to its kind.
+ratio exceeds DISCLOSURE. The prior draws the estimate towards P(e) where little is known of a term, so that
+entities in one or two contexts count too. Within the contexts of the entity, a disclosing term is removed from the
+text if P(e | t) is at least REMOVE, else generalised to its kind.
 
 Contexts are counted once for all copies of a passage, so that a copied document doesn't make its words
 disclosing; mentions have at most 2 WIDTH terms, so the pairs grow with the mentions, not with their square.
@@ -33,8 +34,8 @@ from tallyspark.llm.common import cut, map_slices, ship, table
 KINDS = ("email", "ip", "card", "phone")
 #: Terms on each side of a mention that make its context.
 WIDTH = 8
-#: Distinct contexts of an entity in which a term must stand.
-SUPPORT = 3
+#: Weight of P(entity) in P(entity | term), in occurrences: a term in one context alone is generalised, in two removed.
+PRIOR = 2.0
 #: Share of an entity's information above which a term discloses it, and P(entity | term) from which it is removed.
 DISCLOSURE = 0.85
 REMOVE = 0.5
@@ -161,20 +162,20 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def disclosing(
-    docs: DataFrame, width: int = WIDTH, support: int = SUPPORT, disclosure: float = DISCLOSURE, remove: float = REMOVE
+    docs: DataFrame, width: int = WIDTH, prior: float = PRIOR, disclosure: float = DISCLOSURE, remove: float = REMOVE
 ) -> DataFrame:
     """entity, term, p, ratio, removed: the terms of the corpus that disclose an entity."""
     ship(docs.sparkSession)
     seen = cut(docs.select("text").mapInArrow(lambda it: _scan(it, width), "kind byte, entity string, term string, n long"))
     pairs = seen.where("kind = 1").select("entity", "term", F.col("n").alias("mark")).distinct()
     total = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     candidates = joint.select("term").distinct()
-    # of the counts only those of candidate terms are wanted; both sides are combined before they meet
+    # of the counts only those of terms in contexts are wanted; both sides are combined before they meet
     n_t = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term")
     whole = seen.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0]["n"] or 1
-    p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(whole)))
+    p = (F.col("n_te") + prior * p_e) / (F.greatest("n_t", "n_te") + prior)
     out = joint.join(n_t, "term").join(total, "entity").withColumns({"p": p, "ratio": F.log2(p / p_e) / -F.log2(p_e)})
     return out.where(F.col("ratio") > disclosure).select("entity", "term", "p", "ratio", (F.col("p") >= remove).alias("removed"))
 
