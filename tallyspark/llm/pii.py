@@ -2,15 +2,15 @@
 
 Four patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Around each mention
 stand terms that may give the entity away even when it is masked. How much a term t tells of an entity e is
-estimated from the whole corpus: with n(t) the number of times t occurs and n(t, e) the number of distinct
-contexts of e in which it stands, P(e | t) = (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR), and the pointwise information
+estimated from the whole corpus: with n(t, e) the number of distinct contexts of e in which t stands and n(t) that
+number and the times t occurs in distinct texts outside of e's contexts, P(e | t) = (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR), and the pointwise information
 log2(P(e | t) / P(e)) is compared with the entity's own information -log2 P(e). A term is disclosing if their
 ratio exceeds DISCLOSURE. The prior draws the estimate towards P(e) where little is known of a term, so that
 entities in one or two contexts count too. Within the contexts of the entity, a disclosing term is removed from the
 text if P(e | t) is at least REMOVE, else generalised to its kind.
 
-Contexts are counted once for all copies of a passage, so that a copied document doesn't make its words
-disclosing; mentions have at most 2 WIDTH terms, so the pairs grow with the mentions, not with their square.
+Contexts are counted once for all copies of a passage, and a copied text's terms once for all its copies, so that
+copies make no term more disclosing nor less; mentions have at most 2 WIDTH terms, so the pairs grow with the mentions, not with their square.
 
 Defined results: a null text counts as empty, has no spans and stays null when masked; kinds are matched
 independently and may overlap; masking merges overlapping spans and names the first; repeated rows are treated
@@ -41,6 +41,8 @@ DISCLOSURE = 0.85
 REMOVE = 0.5
 #: Texts with disclosing terms that are broadcast at most (a few hundred bytes each); more are joined by shuffle.
 SMALL = 50_000
+#: Hashes of copied texts that are broadcast at most (16 bytes each); more are joined by shuffle.
+COPIED = 1_000_000
 #: Terms that a task counts before it hands on what it has.
 TERMS = 300_000
 
@@ -52,6 +54,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGITS = re.compile(r"[^0-9]")
+_SEEN = ["kind", "entity", "term", "mark", "n"]
 
 
 def _luhn(digits: str) -> bool:
@@ -124,21 +127,29 @@ def contexts(text: str, spans: list[tuple[str, int, int]], width: int = WIDTH) -
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: term, n (its occurrences in a part of the corpus); kind 1: entity, term, context."""
+    """kind 0: term, n (its occurrences in a part of the corpus); kind 1: entity, term, context, n (its occurrences there).
+
+    Batches have texts and the number of rows with the same text (null: one); each of these counts for its share.
+    """
     counts: Counter[str] = Counter()
 
     def counted() -> pa.RecordBatch:
         terms = pa.array(list(counts), pa.string())
-        none, kind = pa.nulls(len(terms), pa.string()), pa.array([0] * len(terms), pa.int8())
-        return pa.RecordBatch.from_arrays([kind, none, terms, pa.array(counts.values(), pa.int64())], names=["kind", "entity", "term", "n"])
+        size = len(terms)
+        arrays = [pa.array([0] * size, pa.int8()), pa.nulls(size, pa.string()), terms, pa.nulls(size, pa.int64()), pa.array(counts.values(), pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, names=_SEEN)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            entities, terms, marks = [], [], []
-            for text in batch.column(0).slice(at, 1024).to_pylist():
+            entities, terms, marks, times = [], [], [], []
+            for text, copies in zip(batch.column(0).slice(at, 1024).to_pylist(), batch.column(1).slice(at, 1024).to_pylist(), strict=True):
                 if not text:
                     continue
-                counts.update(_TERM.findall(text.lower()))
+                words = _TERM.findall(text.lower())
+                if copies is None:
+                    counts.update(words)
+                else:
+                    counts.update({t: n / copies for t, n in Counter(words).items()})
                 if len(counts) > TERMS:
                     yield counted()
                     counts.clear()
@@ -146,36 +157,48 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 if spans:
                     found = list(contexts(text, spans, width))
                     by: dict[str, list[str]] = {}
-                    for e, _, _, t in found:
+                    places: dict[str, set[tuple[int, str]]] = {}  # contexts of one entity may overlap
+                    for e, a, _, t in found:
                         by.setdefault(e, []).append(t)
+                        places.setdefault(e, set()).add((a, t))
                     for e, ts in by.items():
                         mark = xxhash.xxh64_intdigest(" ".join(ts)) - (1 << 63)
-                        for t in sorted(set(ts)):
+                        for t, n in sorted(Counter(t for _, t in places[e]).items()):
                             entities.append(e)
                             terms.append(t)
                             marks.append(mark)
+                            times.append(n / (copies or 1))
             if terms:
                 kind = pa.array([1] * len(terms), pa.int8())
-                yield pa.RecordBatch.from_arrays([kind, pa.array(entities), pa.array(terms), pa.array(marks, pa.int64())], names=["kind", "entity", "term", "n"])
+                yield pa.RecordBatch.from_arrays([kind, pa.array(entities), pa.array(terms), pa.array(marks, pa.int64()), pa.array(times, pa.float64())], names=_SEEN)
     if counts:
         yield counted()
 
 
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """text, copies: the texts of docs with the number of rows that have the same one, null for texts of one row."""
+    texts = docs.where("text is not null").select("text", key_of(F.col("text")).alias("key"))
+    many = cut(texts.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    return texts.join(F.broadcast(many) if many.count() <= COPIED else many, "key", "left").select("text", "copies")
+
+
 def disclosing(
     docs: DataFrame, width: int = WIDTH, prior: float = PRIOR, disclosure: float = DISCLOSURE, remove: float = REMOVE
 ) -> DataFrame:
     """entity, term, p, ratio, removed: the terms of the corpus that disclose an entity."""
     ship(docs.sparkSession)
-    seen = cut(docs.select("text").mapInArrow(lambda it: _scan(it, width), "kind byte, entity string, term string, n long"))
-    pairs = seen.where("kind = 1").select("entity", "term", F.col("n").alias("mark")).distinct()
+    seen = cut(_with_copies(docs).mapInArrow(lambda it: _scan(it, width), "kind byte, entity string, term string, mark long, n double"))
+    # shares of copied texts add up to whole numbers but for rounding
+    pairs = seen.where("kind = 1").groupBy("entity", "term", "mark").agg(F.sum("n").alias("n"))
     total = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.sum("n").alias("inside"))
     candidates = joint.select("term").distinct()
     # of the counts only those of terms in contexts are wanted; both sides are combined before they meet
     n_t = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term")
-    whole = seen.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0]["n"] or 1
+    whole = round(seen.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0]["n"] or 1)
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(whole)))
-    p = (F.col("n_te") + prior * p_e) / (F.greatest("n_t", "n_te") + prior)
+    outside = F.greatest(F.round(F.col("n_t") - F.col("inside")), F.lit(0.0))
+    p = (F.col("n_te") + prior * p_e) / (F.col("n_te") + outside + prior)
     out = joint.join(n_t, "term").join(total, "entity").withColumns({"p": p, "ratio": F.log2(p / p_e) / -F.log2(p_e)})
     return out.where(F.col("ratio") > disclosure).select("entity", "term", "p", "ratio", (F.col("p") >= remove).alias("removed"))
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -13,12 +14,14 @@ def documents(spark, sf):
 
 def plain(texts):
     """entity, term: p, removed, by counting in Python."""
-    n_t, n_te, n_e = Counter(), defaultdict(set), defaultdict(set)
-    for t in texts:
+    n_t, inside, n_te, n_e = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for t in set(texts):
         n_t.update(pii._TERM.findall(t.lower()))
         by = defaultdict(list)
-        for e, _, _, term in pii.contexts(t, pii.base_spans(t)):
+        found = list(pii.contexts(t, pii.base_spans(t)))
+        for e, _, _, term in found:
             by[e].append(term)
+        inside.update((e, term) for e, _, term in {(e, a, term) for e, a, _, term in found})
         for e, terms in by.items():
             n_e[e].add(tuple(terms))
             for term in terms:
@@ -26,7 +29,7 @@ def plain(texts):
     whole, out = sum(n_t.values()), {}
     for (e, term), marks in n_te.items():
         p_e, n = len(n_e[e]) / whole, len(marks)
-        p = (n + pii.PRIOR * p_e) / (max(n_t[term], n) + pii.PRIOR)
+        p = (n + pii.PRIOR * p_e) / (n + n_t[term] - inside[e, term] + pii.PRIOR)
         if math.log2(p / p_e) / -math.log2(p_e) > pii.DISCLOSURE:
             out[e, term] = (pytest.approx(p), p >= pii.REMOVE)
     return out
@@ -38,3 +41,21 @@ def test_terms_of_rare_entities_are_counted_on_the_tables(spark):
     want = plain(texts)
     assert want and {(r["entity"], r["term"]): (r["p"], r["removed"]) for r in pii.disclosing(df).collect()} == want
     assert pii.report(df).where(F.col("spans").rlike("(term|general):")).count() > 0
+
+
+def test_copies_of_texts_and_passages_leave_the_estimate(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    who = [f"zanzibarian {some(30)} {some(12)} zanzibarian spy@mail.example.com {some(12)}" for _ in range(3)]
+    rest = [some(60) for _ in range(40)]
+    near = [f"{who[1][12:]} {w}" for w in words]  # the same context in other texts
+
+    def found(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        return {(r["entity"], r["term"]): r for r in pii.disclosing(df).collect()}["email:spy@mail.example.com", "zanzibarian"]
+
+    once = found(who + rest)
+    assert once["p"] == pytest.approx(3 / (3 + 3 + pii.PRIOR), rel=0.01)
+    assert found(who + rest + who[:1] * 1000) == once
+    assert found(who + rest + near)["p"] == pytest.approx(once["p"], rel=0.01)
