@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,13 @@ def augment_positives(df: DataFrame, features: list[str], multiplier: float, nei
     return filled.unionByName(made.withColumn(TARGET, F.lit(1).cast(df.schema[TARGET].dataType)), allowMissingColumns=True)
 
 
+def augment_clients(df: DataFrame, features: list[str], multiplier: float, neighbors: int, seed: int) -> DataFrame:
+    """df with each client's rows augmented by themselves, so that neighbours are sought within a client only."""
+    names = [r["c"] for r in df.select(client().alias("c")).distinct().orderBy("c").collect()]
+    parts = [augment_positives(df.where(client().eqNullSafe(F.lit(c))), features, multiplier, neighbors, seed) for c in names]
+    return reduce(DataFrame.unionByName, parts) if parts else df
+
+
 def resample_group(df: DataFrame, features: list[str], name: str, training: dict, seed: int) -> DataFrame:
     """Downsampling, then augmentation, where the training section lists the client."""
     if name in training.get("downsample_negative_clients", []):

@@ -29,6 +29,14 @@ def _smote(spark, sf_dir):
     return out.groupBy(F.col(TARGET).alias("label")).agg(F.count("*").alias("n"))
 
 
+def _smote_features(spark, sf_dir):
+    df = _labelled(spark, sf_dir).select(ID, TARGET, "total_balance")
+    out = sampling.augment_clients(df, ["total_balance"], 2.0, 5, SEED)
+    by = [client().alias("client"), F.col(TARGET).alias("label"), F.contains(F.col(ID), F.lit("#")).alias("synthetic")]
+    x = F.col("total_balance")
+    return out.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("balance_sum"), F.sum(x * x).alias("balance_squares"))
+
+
 def _weights(spark, sf_dir):
     w = sampling.sample_weights({"sample_weight": True, "downsample_negative_keep_ratio": 0.2, "smote_positive_multiplier": 2.0})
     return _labelled(spark, sf_dir).select(ID, w.alias("weight"))
@@ -57,7 +65,7 @@ def _drop(spark, sf_dir):
 
 
 QUERIES = {
-    "split_manifest": _split, "downsample": _down, "smote_counts": _smote, "sample_weights": _weights, "soft_routing_blend": _blend,
+    "split_manifest": _split, "downsample": _down, "smote_counts": _smote, "smote_features": _smote_features, "sample_weights": _weights, "soft_routing_blend": _blend,
     "group_auc": _group_auc, "pooled_auc": _pooled, "permutation_drop": _drop,
 }
 
@@ -81,11 +89,23 @@ q4 as (select *, ceil(sum(rest) over (partition by client) * 0.25 - 1e-9) as tot
 q5 as (select client, y, nt, floor(ex2) + case when row_number() over (partition by client order by ex2 - floor(ex2) desc, y) <= tot2 - sum(floor(ex2)) over (partition by client) then 1 else 0 end as nv from q4),
 rk as (select id, client, y, row_number() over (partition by client, y order by md5(id || '|42'), id) as r from lab)
 """
+_UNIT = "cast(cast('0x' || substr(md5(j || '|{0}|42'), 1, 12) as bigint) as double) / 281474976710656"
+_SMOTE = f"""
+pos as (select id, substr(id, 1, 3) as client, coalesce(bal, 0.0) as x, row_number() over (partition by substr(id, 1, 3) order by md5(id || '|42'), id) - 1 as i from cons where y = 1),
+sizes as (select client, count(*) as n, cast(round_even(count(*) * 2.0, 0) as bigint) - count(*) as extra, least(5, count(*) - 1) as k from pos group by client having count(*) >= 2),
+draws as (select client, j, cast(floor({_UNIT.format('base')} * n) as bigint) as i, cast(floor({_UNIT.format('pick')} * k) as bigint) + 1 as pick, {_UNIT.format('alpha')} as alpha
+  from (select client, n, k, unnest(range(extra)) as j from sizes)),
+near as (select d.client, d.alpha, d.pick, b.x as bx, o.x as ox, row_number() over (partition by d.client, d.j order by (b.x - o.x) * (b.x - o.x), o.id) as r
+  from draws d join pos b on b.client = d.client and b.i = d.i join pos o on o.client = d.client and o.id <> b.id),
+every as (select substr(id, 1, 3) as client, y, false as synthetic, coalesce(bal, 0.0) as x from cons where y is not null
+  union all select client, 1.0, true, bx + alpha * (ox - bx) from near where r = pick)
+"""
 SQL = {
     "split_manifest": f"{_WITH}, {_QUOTA} select id as masked_consumer_id, rk.client, case when r <= nt then 'test' when r <= nt + nv then 'validation' else 'train' end as split from rk join q5 on rk.client = q5.client and rk.y = q5.y",
     "downsample": f"""{_WITH}, r as (select *, count(*) over (partition by y) as n, row_number() over (partition by y order by md5(id || '|42'), id) as k from lab)
       select id as masked_consumer_id, cast(y as double) as "FPF_TARGET" from r where y = 1 or k <= round_even(n * 0.2, 0)""",
     "smote_counts": f"{_WITH} select cast(y as double) as label, case when y = 1 then cast(round_even(count(*) * 2.0, 0) as bigint) else count(*) end as n from lab where client = 'C01' group by y",
+    "smote_features": f"{_WITH}, {_SMOTE} select client, cast(y as double) as label, synthetic, count(*) as n, sum(x) as balance_sum, sum(x * x) as balance_squares from every group by client, y, synthetic",
     "sample_weights": f"{_WITH} select id as masked_consumer_id, case when y = 0 then 1 / 0.2 else 0.5 end as weight from lab",
     "soft_routing_blend": f"{_WITH} select id as masked_consumer_id, ((score / 2 + 0.1) * score + (0.6 - score / 2) * (1 - score)) / greatest(0.7, 1e-9) as risk from lab",
     "group_auc": f"{_WITH} {_auc_sql('client', 'lab', 'score')}",
