@@ -25,7 +25,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut, map_slices, ship, table
@@ -101,12 +101,10 @@ class TextModel:
 def fit(docs: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> TextModel:
     """docs: doc_id, text, lang."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(200).collect()]
-    picked = []
-    for lang in langs:  # ids first, so that no more than the sample's texts move
-        of = rows.where((F.col("lang") == lang) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        got = of.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
-        picked += [(r["doc_id"], lang) for r in got.collect()]
+    # ids first, so that no more than the sample's texts move
+    of = rows.where(F.col("doc_id").isNotNull()).select("lang", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = [(r["doc_id"], r["lang"]) for r in of.withColumn("rank", rank).where(F.col("rank") <= size).collect()]
     if not picked:
         return TextModel([])
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
