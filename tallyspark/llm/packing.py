@@ -2,7 +2,7 @@
 
 Documents longer than a sequence are cut; every piece of less than a whole sequence then goes to one of several
 partitions by a hash of its number. Each partition packs its pieces by best-fit decreasing, and a lower bound
-from dual-feasible functions certifies its bin count where the two meet. Documents in bins with a gap are
+from dual-feasible functions certifies its bin count where the two meet (certificates are logged). Documents in bins with a gap are
 exchanged among fewer partitions and packed again, as long as that saves bins and the whole count is above the
 bound of the whole table. A partition holds at most about TARGET pieces, whatever the table's size.
 
@@ -12,6 +12,7 @@ number; repeated rows are packed as often as they come; an empty table gives an
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import broadcast_vocabulary, default_vocabulary, worker_library
 from tallyspark.llm.common import cut, map_slices, ship, table
 
+log = logging.getLogger(__name__)
+
 #: Pieces that one partition packs, on average.
 TARGET = 8192
 CAPACITY = 1024
@@ -141,19 +144,21 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, target: int = TARGET, r
         return done
     now = _pack(items.where(F.col("length") < capacity), n, 1, capacity, target)
 
-    def census(df: DataFrame) -> tuple[int, int]:
-        first = df.where(F.col("offset") == 0)
-        r = first.agg(F.count("*").alias("bins"), F.sum((F.col("fill") < capacity).cast("int")).alias("open")).collect()[0]
+    def census(df: DataFrame, turn: int) -> tuple[int, int]:
+        first = df.where(F.col("offset") == 0)  # one row for each bin
+        by = first.groupBy(F.shiftright("sequence_id", 28)).agg(F.sum((F.col("fill") < capacity).cast("int")).alias("open"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        r = by.agg(F.count("*").alias("n"), F.sum("bins").alias("bins"), F.sum("open").alias("open"), F.sum((F.col("bins") <= F.col("bound")).cast("int")).alias("sure")).collect()[0]
+        log.info("Packing, turn %d: %d of %d partitions certified, %d bins", turn, r["sure"] or 0, r["n"], r["bins"] or 0)
         return r["bins"] or 0, r["open"] or 0
 
-    total, gaps = census(now)
+    total, gaps = census(now, 1)
     for turn in range(2, rounds + 2):
         if whole + total <= bound or gaps < 2:
             break  # certified, or nothing to exchange
         loose = now.where(F.col("fill") < capacity)
         n = loose.count()
         again = _pack(loose.drop("sequence_id", "offset", "fill", "bins", "bound"), n, turn, capacity, target)
-        bins, open_bins = census(again)
+        bins, open_bins = census(again, turn)
         if bins >= gaps:
             break
         done = done.unionByName(now.where(F.col("fill") == capacity).select(*cols))
