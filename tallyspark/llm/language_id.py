@@ -32,6 +32,8 @@ from tallyspark.llm.common import cut, map_slices, ship, table
 
 SAMPLE = 400
 LONGEST = 20_000
+#: Parts of a language's ids, each of which gives its own first ones.
+SALTS = 16
 #: How far declarations and addresses are believed: P(declared = l | language l).
 DECLARED, ADDRESSED = 0.9, 0.8
 #: Pages that a level's prior counts as, against the level below.
@@ -103,8 +105,11 @@ def fit(docs: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> TextMode
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     # ids first, so that no more than the sample's texts move
     of = rows.where(F.col("doc_id").isNotNull()).select("lang", F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = [(r["doc_id"], r["lang"]) for r in of.withColumn("rank", rank).where(F.col("rank") <= size).collect()]
+    of = of.withColumn("h", F.xxhash64("doc_id"))
+    for by in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # a language may hold most rows: the first of each salt, then of all
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        of = of.withColumn("rank", rank).where(F.col("rank") <= size)
+    picked = [(r["doc_id"], r["lang"]) for r in of.collect()]
     if not picked:
         return TextModel([])
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
