@@ -32,9 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import map_slices, ship, table
 
-#: Every string that means something in the formatted text; all begin with a character of _FIRST.
-CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE ", "[PART ", "<<SYS>>", "<</SYS>>", "<|")
-_FIRST = "\\<["
+# every string that means something in a formatted text begins with one of these
 _ESCAPE = re.compile("([\\\\<\\[])")
 _UNESCAPE = re.compile("\\\\([\\\\<\\[])")
 _OPEN = re.compile(r"<s>\[ROLE ((?:[^\]\\]|\\.)*)\] ", re.S)
@@ -128,8 +126,10 @@ def read_turns(formatted: str) -> Iterator[tuple[str, list[str | tuple[str, int,
         parts: list[str | tuple[str, int, int]] = []
         start = 0
         for m in _PART.finditer(body):
-            slashes = len(body[: m.start()]) - len(body[: m.start()].rstrip("\\"))
-            if slashes % 2 == 0:  # else it is an escaped text
+            k = m.start()
+            while k and body[k - 1] == "\\":
+                k -= 1
+            if (m.start() - k) % 2 == 0:  # else it is an escaped text
                 if m.start() > start:
                     parts.append(unescape(body[start : m.start()]))
                 parts.append((m[1], int(m[2]), int(m[3])))

@@ -30,15 +30,28 @@ def ship(spark: SparkSession) -> None:
     sc._tallyspark_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one in local mode; an error on a cluster."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared:
+        return shared
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(sc, "_tallyspark_local"):
+        sc._tallyspark_local = tempfile.mkdtemp(prefix="tallyspark-checkpoint")
+    return sc._tallyspark_local
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and go on from the files (an eager checkpoint).
+    """Write df to the shared folder and go on from the files (an eager checkpoint).
 
-    Only where that setting and the context's folder are both unset (tests) is a local folder chosen.
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when df is no longer used; otherwise they
+    stay until the folder is emptied.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyspark-checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
