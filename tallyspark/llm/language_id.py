@@ -4,15 +4,17 @@ Four kinds of evidence about a page are brought together in log space: the likel
 each language's character trigrams, the language that its markup declares, what its address says (a path segment
 or a suffix), and the prior of its host. Host priors are hierarchical: the soft counts of the pages' posteriors
 without the host's prior are summed by grouped aggregation for hosts, for their registered domains and overall,
-and each level is smoothed towards the one above with a Dirichlet weight.
+and each level is smoothed towards the one above with a Dirichlet weight. A page's own counts are taken out of all
+three levels before they are its prior, so that its evidence counts once.
 
 The text model is fitted on a bounded sample of labelled documents (SAMPLE of each language, by a hash of their
-ids, and at most LONGEST characters each); every page is judged over its whole text. Per page only its host and
-one number for each language are moved.
+ids, and at most LONGEST characters each) and keeps the sample's VOCABULARY most frequent trigrams; every page is
+judged over its whole text. Per page only its host and one number for each language are moved.
 
 Defined results: a null or empty page has no text evidence and is judged by address and prior; unknown or
-contradictory declarations count as none; a null address has the empty host; ties go to the first language in
-alphabetical order; repeated rows are pages each; without labelled documents there are no rows.
+contradictory declarations count as none; a null address has the empty host; markup that is never closed is text;
+ties go to the first language in alphabetical order; repeated rows are pages each; without labelled documents there
+are no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from tallyspark.llm.common import cut, map_slices, ship, table
 
 SAMPLE = 400
 LONGEST = 20_000
+VOCABULARY = 20_000
 #: Parts of a language's ids, each of which gives its own first ones.
 SALTS = 16
 #: How far declarations and addresses are believed: P(declared = l | language l).
@@ -40,13 +43,62 @@ DECLARED, ADDRESSED = 0.9, 0.8
 WEIGHT = 5.0
 #: Trigrams of a text are not independent; their sum counts as at most so many.
 EVIDENCE = 60.0
-_TAGS = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: Hosts whose priors are broadcast at most (16 bytes a language and their names); more are joined by shuffle.
+SMALL = 50_000
+#: Second labels under which registrars of a country give out names.
+SECOND = frozenset("ac co com edu gov net org".split())
+_RAW = re.compile(r"<(script|style)\b[^>]*>", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _SPACE = re.compile(r"[\W\d_]+")
 
 
 def visible(html: str | None) -> str:
-    return unescape(_TAGS.sub(" ", html or ""))
+    """The text outside of tags, comments, scripts and styles; one pass, whatever is left unclosed."""
+    html, out, at = html or "", [], 0
+    unclosed: set[str] = set()  # what no longer closes further on
+
+    def ends(name: str, start: int) -> int:
+        if name in unclosed:
+            return -1
+        if name == "comment":
+            end = html.find("-->", start)
+            end = end + 3 if end >= 0 else -1
+        else:
+            m = _CLOSE[name].search(html, start)
+            end = m.end() if m else -1
+        if end < 0:
+            unclosed.add(name)
+        return end
+
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        close = html.find(">", start)
+        if close < 0:
+            at = start
+            break
+        end = -1
+        if html.startswith("<!--", start):
+            end = ends("comment", start + 4)
+        elif m := _RAW.match(html, start):
+            end = ends(m[1].lower(), m.end())
+        at = end if end >= 0 else close + 1
+        out.append(" ")
+    return unescape("".join(out) + html[at:])
+
+
+def declared_language(html: str | None) -> str | None:
+    html, at = html or "", 0
+    while m := _HTML.search(html, at):
+        close = html.find(">", m.end())
+        found = _LANG.search(html, m.end(), close if close >= 0 else len(html))
+        if found:
+            return found[1].lower()
+        if close < 0:
+            return None
+        at = close
+    return None
 
 
 def trigrams(text: str) -> list[str]:
@@ -55,20 +107,22 @@ def trigrams(text: str) -> list[str]:
 
 
 def host_of(url: str | None) -> tuple[str, str, list[str]]:
-    """Host, registered domain (its last two labels) and the address's language candidates."""
+    """Host, registered domain (its last two labels, or three under a country's second label) and the address's language candidates."""
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").lower()
     except ValueError:
         return "", "", []
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), [*(s.lower() for s in parts.path.split("/") if 2 <= len(s) <= 3), *labels[-1:], *labels[:1]]
+    known = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND else 2
+    domain = host if labels[-1].isdigit() else ".".join(labels[-known:])  # addresses in numbers have no domain
+    return host, domain, [*(s.lower() for s in parts.path.split("/") if 2 <= len(s) <= 3), *labels[-1:], *labels[:1]]
 
 
 class TextModel:
     """log P(trigram | language), with add-one smoothing over the trigrams of the sample."""
 
-    def __init__(self, rows: list[tuple[str, str]], most: int = 20_000):
+    def __init__(self, rows: list[tuple[str, str]], most: int = VOCABULARY):
         self.languages = sorted({lang for _, lang in rows})
         counts: dict[str, Counter] = {lang: Counter() for lang in self.languages}
         for text, lang in rows:
@@ -132,8 +186,7 @@ def identify(pages: DataFrame, model: TextModel, weight: float = WEIGHT) -> Data
         hosts, domains, declared, by_text, logs, soft = [], [], [], [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host, domain, said = host_of(url)
-            found = _LANG.search(html or "")
-            d = found[1].lower() if found else None
+            d = declared_language(html)
             own = m.text(visible(html))
             a = next((s for s in said if s in m.languages), None)
             total = own + m.hint(d, DECLARED) + m.hint(a, ADDRESSED)
@@ -151,19 +204,28 @@ def identify(pages: DataFrame, model: TextModel, weight: float = WEIGHT) -> Data
     schema = "page_id long, host string, domain string, declared string, text_lang string, logs array<double>, soft array<double>"
     seen = cut(map_slices(pages.select(F.col("page_id").cast("long"), "url", "html"), run, schema, 256))
     k = len(langs)
-    sums = [F.sum(F.col("soft")[j]).alias(f"s{j}") for j in range(k)]
-
-    def share(n: str, above: list) -> list:
-        total = sum((F.col(f"s{j}") for j in range(k)), F.lit(0.0))
-        return [((F.col(f"s{j}") + weight * above[j]) / (total + weight)).alias(f"{n}{j}") for j in range(k)]
-
-    overall = seen.agg(*sums).collect()[0]
-    whole = sum(overall[j] or 0.0 for j in range(k))
-    top = [F.lit(((overall[j] or 0.0) + 1.0) / (whole + k)) for j in range(k)]
-    domains = seen.groupBy("domain").agg(*sums).select("domain", *share("d", top))
-    hosts = seen.groupBy("host", "domain").agg(*sums).join(domains, "domain")
-    hosts = hosts.select("host", F.array(*share("h", [F.col(f"d{j}") for j in range(k)])).alias("prior"))
-    post = seen.join(hosts, "host").withColumn("z", F.zip_with("logs", "prior", lambda a, b: a + F.log(b)))
+    sums = F.array(*[F.sum(F.col("soft")[j]) for j in range(k)])
+    top = seen.agg(sums.alias("sums")).collect()[0]["sums"]
+    top = [x or 0.0 for x in top]
+    whole = math.fsum(top)
+
+    domains = seen.groupBy("domain").agg(sums.alias("of_domain"), F.count("*").alias("in_domain"))
+    hosts = seen.groupBy("host", "domain").agg(sums.alias("of_host"), F.count("*").alias("in_host")).join(domains, "domain").drop("domain")
+    hosts = cut(hosts)
+    if hosts.count() <= SMALL:
+        post = seen.join(F.broadcast(hosts), "host")
+    else:  # a host may hold a third of all pages: its row goes to each of SALTS parts
+        hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        post = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", F.array_join(F.transform("logs", lambda x: x.cast("string")), " ")), F.lit(SALTS).cast("long"))).join(hosts, ["host", "salt"])
+
+    def level(counts, n, above):
+        """The other pages' soft counts, smoothed towards the level above."""
+        others = F.zip_with(counts, "soft", lambda x, own: F.greatest(x - own, F.lit(0.0)))
+        return F.zip_with(others, above, lambda x, p: (x + weight * p) / (n - 1 + weight))
+
+    overall = F.zip_with(F.array(*map(F.lit, top)), "soft", lambda x, own: (F.greatest(x - own, F.lit(0.0)) + 1.0) / (whole - 1.0 + k))
+    post = post.withColumn("p0", overall).withColumn("p1", level("of_domain", F.col("in_domain"), "p0")).withColumn("p2", level("of_host", F.col("in_host"), "p1"))
+    post = post.withColumn("z", F.zip_with("logs", "p2", lambda a, b: a + F.log(b)))
     post = post.withColumn("best", F.array_max("z"))
     at = F.array_position("z", F.col("best")).cast("int")
     sure = 1.0 / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best")))
@@ -175,6 +237,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accuracy(model: TextModel, rows: list[tuple[str, str]]) -> float:
-    """Of the text evidence alone, on (text, lang)."""
+    """Share of (text, lang) that the text evidence alone tells rightly."""
     right = [model.languages[int(model.text(t).argmax())] == lang for t, lang in rows]
     return math.fsum(right) / max(1, len(right))
