@@ -272,8 +272,7 @@ def worker_encoder(source) -> Encoder:
     key, data = source.value
     if key not in _BY_KEY:
         _BY_KEY[key] = Encoder(data)
-        gc.freeze()  # the vocabulary and the words below make no cycles; looking for them takes longer than encoding
-        gc.disable()
+        gc.freeze()  # the vocabulary makes no cycles; looking for them takes longer than encoding
     return _BY_KEY[key]
 
 
@@ -294,7 +293,14 @@ def worker_library(source) -> Callable[[str], np.ndarray]:
             import tiktoken
 
             library = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=own.ids, special_tokens=own.special)
-            _LIBRARY[key] = lambda text: library.encode_to_numpy(text, allowed_special="all")
+
+            def by_library(text: str) -> np.ndarray:
+                try:
+                    return library.encode_to_numpy(text, allowed_special="all")
+                except ValueError:  # its pattern gives up on very long runs of blanks
+                    return np.array(own.encode_batch([text])[0], np.uint32)
+
+            _LIBRARY[key] = by_library
         else:
             _LIBRARY[key] = lambda text: np.array(own.encode_batch([text])[0], np.uint32)
     return _LIBRARY[key]

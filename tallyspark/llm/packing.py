@@ -2,9 +2,12 @@
 
 Documents longer than a sequence are cut; every piece of less than a whole sequence then goes to one of several
 partitions by a hash of its number. Each partition packs its pieces by best-fit decreasing, and a lower bound
-from dual-feasible functions certifies its bin count where the two meet (certificates are logged). Documents in bins with a gap are
-exchanged among fewer partitions and packed again, as long as that saves bins and the whole count is above the
-bound of the whole table. A partition holds at most about TARGET pieces, whatever the table's size.
+from dual-feasible functions certifies its bin count where the two meet. Partitions with a gap between count and
+bound exchange the documents of their open bins and are packed again, while certified ones rest. Once no such
+exchange saves bins, and the whole count is above the bound of the whole table, the open bins of all partitions are
+exchanged likewise: bounds of parts don't add up to that of the table. `certified` tells for each piece whether the
+partition that packed it last met its bound; certificates are logged by turn. A partition holds about TARGET pieces,
+whatever the table's size.
 
 Defined results: a null or empty text is the end token alone; equal lengths are taken in order of their piece
 number; repeated rows are packed as often as they come; an empty table gives an empty result.
@@ -136,34 +139,46 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, target: int = TARGET, r
     for r in sizes:
         counts[r["length"]] = r["count"]
     bound, whole = lower_bound(counts, capacity), int(counts[capacity])
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done = items.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
-    done = done.select(*cols)
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
+    done = items.where(F.col("length") == capacity)
+    done = done.withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)}).select(*cols)
     n = int(counts.sum()) - whole
     if not n:
         return done
-    now = _pack(items.where(F.col("length") < capacity), n, 1, capacity, target)
+    sure = (F.col("bins") <= F.col("bound")).alias("certified")
 
-    def census(df: DataFrame, turn: int) -> tuple[int, int]:
+    def census(df: DataFrame, turn: int) -> tuple[int, int, int]:
+        """Bins of df, those of them with room, and those of the latter in partitions with a gap."""
         first = df.where(F.col("offset") == 0)  # one row for each bin
-        by = first.groupBy(F.shiftright("sequence_id", 28)).agg(F.sum((F.col("fill") < capacity).cast("int")).alias("open"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        r = by.agg(F.count("*").alias("n"), F.sum("bins").alias("bins"), F.sum("open").alias("open"), F.sum((F.col("bins") <= F.col("bound")).cast("int")).alias("sure")).collect()[0]
+        room = (F.col("fill") < capacity).cast("int")
+        by = first.groupBy(F.shiftright("sequence_id", 28)).agg(F.count("*").alias("here"), F.sum(room).alias("open"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        loose = F.sum(F.when(~sure, F.col("open")).otherwise(0)).alias("loose")
+        r = by.agg(F.count("*").alias("n"), F.sum("here").alias("bins"), F.sum("open").alias("open"), loose, F.sum(sure.cast("int")).alias("sure")).collect()[0]
         log.info("Packing, turn %d: %d of %d partitions certified, %d bins", turn, r["sure"] or 0, r["n"], r["bins"] or 0)
-        return r["bins"] or 0, r["open"] or 0
+        return r["bins"] or 0, r["open"] or 0, r["loose"] or 0
 
-    total, gaps = census(now, 1)
+    now = _pack(items.where(F.col("length") < capacity), n, 1, capacity, target)
+    total, gaps, loose = census(now, 1)
+    every = False  # whether certified partitions take part
     for turn in range(2, rounds + 2):
-        if whole + total <= bound or gaps < 2:
+        every = every or loose < 2
+        chosen, count = (now, gaps) if every else (now.where(~sure), loose)
+        if whole + total <= bound or count < 2:
             break  # certified, or nothing to exchange
-        loose = now.where(F.col("fill") < capacity)
-        n = loose.count()
-        again = _pack(loose.drop("sequence_id", "offset", "fill", "bins", "bound"), n, turn, capacity, target)
-        bins, open_bins = census(again, turn)
-        if bins >= gaps:
-            break
-        done = done.unionByName(now.where(F.col("fill") == capacity).select(*cols))
-        now, total, whole, gaps = again, bins, whole + total - gaps, open_bins
-    return done.unionByName(now.select(*cols))
+        open_bins = chosen.where(F.col("fill") < capacity)
+        again = _pack(open_bins.drop("sequence_id", "offset", "fill", "bins", "bound"), open_bins.count(), turn, capacity, target)
+        bins, gaps_, loose_ = census(again, turn)
+        if bins >= count:
+            if every:
+                break
+            every = True
+            continue
+        done = done.unionByName(now.where(F.col("fill") == capacity).withColumn("certified", sure).select(*cols))
+        rest = now.where(F.col("fill") < capacity)
+        total -= count - bins
+        # certified partitions rest, with their open bins
+        now, gaps, loose = (again, gaps_, loose_) if every else (cut(again.unionByName(rest.where(sure))), gaps - count + gaps_, loose_)
+    return done.unionByName(now.withColumn("certified", sure).select(*cols))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
