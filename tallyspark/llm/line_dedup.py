@@ -2,7 +2,8 @@
 
 For each host, the pages that contain a line are divided by the host's pages; a line whose share exceeds the
 ratio goes from all of that host's pages. Pages are counted by distinct text, so that a page copied many times
-isn't boilerplate of its own, and a line must occur on LEAST distinct pages, so that small hosts keep theirs.
+isn't boilerplate of its own, and a line must occur on LEAST distinct pages: one that stands on a single page is
+no repetition, or a host's only page would lose all its lines. Callers may ask for more pages.
 
 Lines are compared without spaces at their ends, and blank lines stay. Only 64-bit hashes of lines move; counts
 are combined before the shuffle, and what joins back to the pages is a line list for each page that loses any.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import cut, table
 
 RATIO = 0.1
-LEAST = 5
+LEAST = 2
 #: Boilerplate lines that are broadcast at most, of 8 bytes each and their hosts' names.
 SMALL = 200_000
 SALTS = 64
