@@ -19,15 +19,15 @@ def build_demo_frames(spark: SparkSession, config: dict, seed: int) -> tuple[Dat
     periods, days, per = int(config["history_periods"]), int(config["days_per_period"]), int(config["transactions_per_period"])
     kinds = config["categories"]
     if periods < 1 or days < 1:
-        raise ValueError("Demo history_periods and days_per_period must be positive.")
+        raise ValueError(f"a demo of {periods} periods of {days} days has no history")
     if not kinds or per < len(kinds):
-        raise ValueError("Demo needs at least one transaction per category per period.")
+        raise ValueError(f"{per} transactions a period can't show each of {len(kinds)} categories")
     parts = []
     low, high = config["consumer_amount_scale_range"]
     for name, s in config["clients"].items():
         n, share = int(s["n_consumers"]), float(s["positive_fraction"])
         if n < 1 or not 0 < share < 1:
-            raise ValueError("Demo clients need positive counts and a label fraction in (0, 1).")
+            raise ValueError(f"demo client {name}: {n} consumers with a share of {share} positives")
         a, b = s["balance_range"]
         rows = spark.range(n).select(F.concat(F.lit(f"{name}_demo_"), F.lpad(F.col("id").cast("string"), 5, "0")).alias(ID), F.col("id").alias("i"))
         # labels: the first round(n * share) of an order that mixes the numbers
@@ -52,17 +52,24 @@ def _coprime(a: int, b: int) -> bool:
 
 
 def write_demo_inputs(spark: SparkSession, config: dict) -> None:
-    """Write the demo tables; refuse to overwrite other data or to lie beside foreign shards."""
-    consumers, tx = build_demo_frames(spark, config["demo"], config["seed"])
+    """Write the demo tables below demo.staging_root. Tables that exist must hold the same rows; all is checked before any is written."""
     folder = config["data"]["transactions_dir"]
+    root = os.path.realpath(config["demo"]["staging_root"])
+    for path in (config["data"]["consumer_file"], folder):
+        if not os.path.realpath(path).startswith(root + os.sep):
+            raise ValueError(f"{path} isn't below the staging folder {root}")
+    own = "transactions_demo.parquet"
+    strange = sorted(n for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith("transactions_") and n != own)
+    if strange:
+        raise FileExistsError(f"{folder} holds shards that aren't the demo's: {strange}")
+    missing = []
+    for df, path in zip(build_demo_frames(spark, config["demo"], config["seed"]), (config["data"]["consumer_file"], os.path.join(folder, own)), strict=True):
+        if not os.path.exists(path):
+            missing.append((df, path))
+            continue
+        old = spark.read.parquet(path)
+        if old.columns != df.columns or old.exceptAll(df).unionByName(df.exceptAll(old)).limit(1).count():
+            raise FileExistsError(f"{path} exists and holds other rows")
     os.makedirs(folder, exist_ok=True)
-    foreign = [n for n in os.listdir(folder) if n.startswith("transactions_") and n != "transactions_000.parquet"]
-    if foreign:
-        raise FileExistsError(f"Other transaction shards exist: {foreign}")
-    for df, path in ((consumers, config["data"]["consumer_file"]), (tx, os.path.join(folder, "transactions_000.parquet"))):
-        if os.path.exists(path):
-            old = spark.read.parquet(path)
-            if old.columns != df.columns or old.exceptAll(df).limit(1).count() or df.exceptAll(old).limit(1).count():
-                raise FileExistsError(f"Refusing to overwrite different data: {path}")
-        else:
-            df.write.mode("errorifexists").parquet(path)
+    for df, path in missing:
+        df.write.mode("errorifexists").parquet(path)

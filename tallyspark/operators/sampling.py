@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalar import ID, TARGET, client, order_hash
+from tallyspark.operators.ordering import number
+
+#: Positives of a block: a positive meets the blocks of its group one by one and keeps the nearest of each.
+BLOCK = 512
+
+
+def _share(n: float) -> bool:
+    return 0 < n <= 1
 
 
 def split_622(df: DataFrame, seed: int, check: bool = True) -> DataFrame:
     """df with `split`: of each client 20 % test and a quarter of the rest validation, by label in proportion.
 
     Sizes are those of rounding up each client's share; within it labels get largest remainders, so that sizes are
-    exact. Raises ValueError for an empty table, repeated ids, or a client with too few rows of a label.
+    exact. Raises ValueError for an empty table, repeated ids, or a client whose rows are too few to cut: a part with
+    fewer rows than there are labels, or a label with a single row before a cut.
     """
     g = df.select(ID, TARGET).groupBy(client().alias("client"), TARGET).count()
-    if check:
-        if df.isEmpty():
-            raise ValueError("No labeled consumers are available for splitting.")
-        if df.groupBy(ID).count().where("count > 1").limit(1).count():
-            raise ValueError("Split input must contain one row per consumer.")
-        small = g.where("count < 2").limit(1).collect()
-        if small:
-            raise ValueError(f"Cannot create a stratified 60/20/20 split for client {small[0]['client']}: a label has too few rows")
     by = Window.partitionBy("client")
 
     def quota(n: str, share: float, name: str, d: DataFrame) -> DataFrame:
@@ -38,10 +38,22 @@ def split_622(df: DataFrame, seed: int, check: bool = True) -> DataFrame:
 
     g = quota("count", 0.2, "n_test", g)
     g = quota("rest", 0.25, "n_validation", g.withColumn("rest", F.col("count") - F.col("n_test")))
+    if check:
+        sums = g.groupBy("client").agg(*[F.sum(c).alias(c) for c in ("count", "rest", "n_test", "n_validation")], F.min("count").alias("rare"), F.min(F.when(F.col("rest") > 0, F.col("rest"))).alias("rarer"), F.count("*").alias("labels"))
+        rows = sums.collect()  # one row for each client
+        if not rows:
+            raise ValueError("nothing to split: no consumer has a label")
+        small = sorted(
+            r["client"] for r in rows
+            if min(r["n_test"], r["n_validation"], r["rest"] - r["n_validation"]) < r["labels"] or (r["labels"] > 1 and min(r["rare"], r["rarer"]) < 2)
+        )
+        if small:
+            raise ValueError(f"too few rows for a split by label: clients {small}")
+        if df.groupBy(ID).count().where("count > 1").limit(1).count():
+            raise ValueError("a consumer would be in several parts: ids repeat")
     g = g.select("client", F.col(TARGET).alias("_y"), "n_test", "n_validation")
-    order = Window.partitionBy("_client", TARGET).orderBy(order_hash(seed, ID), ID)
-    ranked = df.withColumn("_client", client()).withColumn("_rank", F.row_number().over(order))
-    out = ranked.join(F.broadcast(g), (F.col("_client") == F.col("client")) & F.col(TARGET).eqNullSafe(F.col("_y")))
+    ranked = number(df.withColumn("_client", client()), ["_client", TARGET], order_hash(seed, ID), ID, "_rank")
+    out = ranked.join(F.broadcast(g), F.col("_client").eqNullSafe(F.col("client")) & F.col(TARGET).eqNullSafe(F.col("_y")))  # two rows for each client
     kind = F.when(F.col("_rank") <= F.col("n_test"), "test").when(F.col("_rank") <= F.col("n_test") + F.col("n_validation"), "validation").otherwise("train")
     return out.select(*df.columns, kind.alias("split"))
 
@@ -52,53 +64,66 @@ def split_manifest(split: DataFrame) -> DataFrame:
 
 def downsample_negatives(df: DataFrame, keep_ratio: float, seed: int) -> DataFrame:
     """All positives and round(n * keep_ratio) of the n negatives."""
-    if not 0 < keep_ratio <= 1:
-        raise ValueError("downsample_negative_keep_ratio must be in (0, 1].")
-    by = Window.partitionBy(TARGET)
-    ranked = df.withColumn("_n", F.count("*").over(by)).withColumn("_rank", F.row_number().over(by.orderBy(order_hash(seed, ID), ID)))
-    return ranked.where((F.col(TARGET) == 1) | (F.col("_rank") <= F.bround(F.col("_n") * F.lit(keep_ratio), 0))).select(*df.columns)
+    if not _share(keep_ratio):
+        raise ValueError(f"a share of {keep_ratio} of the negatives can't be kept")
+    negative = ~F.coalesce(F.col(TARGET) == 1, F.lit(False))
+    some = df.where(negative)
+    n = some.agg(F.lit(0).alias("_all"), F.bround(F.count("*") * F.lit(keep_ratio), 0).alias("_keep"))  # one row
+    ranked = number(some, [], order_hash(seed, ID), ID, "_rank").withColumn("_all", F.lit(0))
+    kept = ranked.join(F.broadcast(n), "_all").where(F.col("_rank") <= F.col("_keep"))
+    return df.where(~negative).unionByName(kept.select(*df.columns))
 
 
-def augment_positives(df: DataFrame, features: list[str], multiplier: float, neighbors: int, seed: int) -> DataFrame:
+def nearest(points: DataFrame, keys: list[str], k: int, block: int = BLOCK) -> DataFrame:
+    """keys, id, near: the k points of the same keys nearest to each point (by squared distance, then id). points: keys, id, i (from 0), x array.
+
+    A point visits the blocks of its keys' points; what moves is a row for each point and block, never for each pair.
+    """
+    blocked = points.withColumn("_b", F.floor(F.col("i") / block))
+    held = blocked.groupBy(*keys, "_b").agg(F.collect_list(F.struct(F.col("id"), F.col("x"))).alias("others"))
+    last = points.groupBy(*keys).agg(F.floor(F.max("i") / block).alias("_last"))
+    visits = points.join(last, keys).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    met = visits.join(held, [*keys, "_b"])
+    distance = lambda o: F.aggregate(F.zip_with("x", o["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    near = F.transform(F.filter("others", lambda o: o["id"] != F.col("id")), lambda o: F.struct(distance(o).alias("d"), o["id"].alias("id"), o["x"].alias("x")))
+    met = met.select(*keys, "id", F.slice(F.array_sort(near), 1, k).alias("near"))
+    return met.groupBy(*keys, "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def augment_clients(df: DataFrame, features: list[str], multiplier: float, neighbors: int, seed: int, keys: Column | None = None) -> DataFrame:
     """df, zero-filled, with synthetic positives on the segments between positives and their nearest neighbours.
 
-    Neighbours come from a comparison within one group's positives, which a trained expert's group bounds.
+    Neighbours are sought among the positives of the same key (the client, unless told otherwise), once for each
+    positive. A key with a single positive, or with a multiplier that adds none, stays as it is.
     """
-    if not math.isfinite(multiplier) or multiplier < 1:
-        raise ValueError("smote_positive_multiplier must be finite and at least 1.")
-    if neighbors < 1:
-        raise ValueError("smote_k_neighbors must be at least 1.")
-    n = df.where(F.col(TARGET) == 1).count()
-    extra = max(0, round(n * multiplier) - n)
-    if not extra or n < 2:
-        return df
-    k = min(neighbors, n - 1)
+    if neighbors < 1 or not (math.isfinite(multiplier) and multiplier >= 1):
+        raise ValueError(f"no augmentation by {multiplier} with {neighbors} neighbours")
+    key = client() if keys is None else keys
     filled = df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
-    pos = filled.where(F.col(TARGET) == 1).select(ID, F.array(*features).alias("x"))
-    pos = pos.withColumn("i", F.row_number().over(Window.orderBy(order_hash(seed, ID), ID)) - 1)
+    positives = filled.where(F.col(TARGET) == 1).select(key.alias("key"), F.col(ID).alias("id"), F.array(*features).alias("x"))
+    points = number(positives.withColumn("_id", F.col("id")), ["key"], order_hash(seed, "id"), "_id", "i").withColumn("i", F.col("i") - 1).drop("_id")
     unit = lambda *salt: F.conv(F.substring(order_hash(seed, "j", *salt), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    draws = df.sparkSession.range(extra).select(F.col("id").alias("j")).withColumns({"_b": F.lit("base"), "_p": F.lit("pick"), "_a": F.lit("alpha")})
-    draws = draws.select("j", F.floor(unit("_b") * n).cast("int").alias("i"), (F.floor(unit("_p") * k) + 1).alias("pick"), unit("_a").alias("alpha"))
-    base = draws.join(pos.select("i", F.col("x").alias("bx"), F.col(ID).alias("_base")), "i")
-    distance = F.aggregate(F.zip_with("bx", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = base.join(pos.select(F.col(ID).alias("_other"), "x"), F.col("_base") != F.col("_other")).withColumn("d", distance)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("j").orderBy("d", "_other"))).where(F.col("r") == F.col("pick"))
-    made = near.select(F.concat(F.col("_base"), F.lit("#s"), F.col("j").cast("string")).alias(ID), *[(F.col("bx")[i] + F.col("alpha") * (F.col("x")[i] - F.col("bx")[i])).alias(f) for i, f in enumerate(features)])
-    return filled.unionByName(made.withColumn(TARGET, F.lit(1).cast(df.schema[TARGET].dataType)), allowMissingColumns=True)
+    sizes = positives.groupBy("key").agg(F.count("*").alias("n")).withColumn("extra", F.bround(F.col("n") * F.lit(float(multiplier)), 0).cast("long") - F.col("n"))
+    draws = sizes.where("n > 1 and extra > 0").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1)).alias("j"))
+    draws = draws.withColumns({"_b": F.lit("base"), "_p": F.lit("pick"), "_a": F.lit("alpha"), "k": F.least(F.lit(neighbors).cast("long"), F.col("n") - 1)})
+    draws = draws.select("key", "j", F.floor(unit("_b") * F.col("n")).alias("i"), (F.floor(unit("_p") * F.col("k")) + 1).cast("int").alias("pick"), unit("_a").alias("alpha"))
+    around = points.join(nearest(points, ["key"], neighbors), ["key", "id"])
+    made = draws.join(around, ["key", "i"]).withColumn("to", F.element_at("near", F.col("pick"))["x"])
+    between = [(F.col("x")[i] + F.col("alpha") * (F.col("to")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)]
+    made = made.select(F.concat("id", F.lit("#s"), F.col("j").cast("string")).alias(ID), *between, F.lit(1).cast(df.schema[TARGET].dataType).alias(TARGET))
+    return filled.unionByName(made, allowMissingColumns=True)
 
 
-def augment_clients(df: DataFrame, features: list[str], multiplier: float, neighbors: int, seed: int) -> DataFrame:
-    """df with each client's rows augmented by themselves, so that neighbours are sought within a client only."""
-    names = [r["c"] for r in df.select(client().alias("c")).distinct().orderBy("c").collect()]
-    parts = [augment_positives(df.where(client().eqNullSafe(F.lit(c))), features, multiplier, neighbors, seed) for c in names]
-    return reduce(DataFrame.unionByName, parts) if parts else df
+def augment_positives(df: DataFrame, features: list[str], multiplier: float, neighbors: int, seed: int) -> DataFrame:
+    """augment_clients with all rows as one group."""
+    return augment_clients(df, features, multiplier, neighbors, seed, F.lit(0))
 
 
 def resample_group(df: DataFrame, features: list[str], name: str, training: dict, seed: int) -> DataFrame:
     """Downsampling, then augmentation, where the training section lists the client."""
-    if name in training.get("downsample_negative_clients", []):
+    if name in training.get("downsample_negative_clients", ()):
         df = downsample_negatives(df, training.get("downsample_negative_keep_ratio", 0.2), seed)
-    if name in training.get("smote_positive_clients", []):
+    if name in training.get("smote_positive_clients", ()):
         df = augment_positives(df, features, training.get("smote_positive_multiplier", 2.0), training.get("smote_k_neighbors", 5), seed)
     return df
 
@@ -108,6 +133,6 @@ def sample_weights(training: dict, label: str = TARGET) -> Column | None:
     if not training.get("sample_weight", False):
         return None
     keep, times = training.get("downsample_negative_keep_ratio", 1.0), training.get("smote_positive_multiplier", 1.0)
-    if not 0 < keep <= 1 or not math.isfinite(times) or times < 1:
-        raise ValueError("Sample weights require a keep ratio in (0, 1] and multiplier >= 1.")
+    if not _share(keep) or not math.isfinite(times) or times < 1:
+        raise ValueError(f"no weights undo a share of {keep} and a multiple of {times}")
     return F.when(F.col(label) == 0, 1.0 / keep).otherwise(1.0 / times)

@@ -32,9 +32,9 @@ FAMILIES: dict[str, list[str]] = {
     "risk_hhi": ["risk_category_hhi"],
     "risk_gap_norm": ["risk_inflow_gap_max_norm"],
     "balance_features": list(fx.BALANCES),
-    "feature_frame_44": resolve_feature_names(["cashflow_44"]),
-    "feature_frame_56": resolve_feature_names(["cashflow_56"]),
-    "feature_frame_60": resolve_feature_names(["cashflow_60"]),
+    "feature_frame_44": resolve_feature_names(["ledger_44"]),
+    "feature_frame_56": resolve_feature_names(["ledger_56"]),
+    "feature_frame_60": resolve_feature_names(["ledger_60"]),
 }
 _EVENT = {"event_windows": FAMILIES["agg_windows"], "event_gaps": FAMILIES["income_gaps"], "event_history": FAMILIES["history_recency"], "event_balance": list(fx.BALANCES)}
 

@@ -17,24 +17,31 @@ def _labelled(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return sampling.split_manifest(sampling.split_622(_labelled(spark, sf_dir), SEED, check=False))
+    return sampling.split_manifest(sampling.split_622(_labelled(spark, sf_dir), SEED))
 
 
 def _down(spark, sf_dir):
     return sampling.downsample_negatives(_labelled(spark, sf_dir), 0.2, SEED).select(ID, TARGET)
 
 
+def _augmented(spark, sf_dir):
+    df = _labelled(spark, sf_dir).select(ID, TARGET, "total_balance", "score")
+    return sampling.augment_clients(df, ["total_balance", "score"], 2.0, 5, SEED)
+
+
 def _smote(spark, sf_dir):
-    out = sampling.augment_positives(_labelled(spark, sf_dir).where(client() == "C01").select(ID, TARGET, "total_balance"), ["total_balance"], 2.0, 5, SEED)
-    return out.groupBy(F.col(TARGET).alias("label")).agg(F.count("*").alias("n"))
+    return _augmented(spark, sf_dir).groupBy(client().alias("client"), F.col(TARGET).alias("label")).agg(F.count("*").alias("n"))
 
 
 def _smote_features(spark, sf_dir):
-    df = _labelled(spark, sf_dir).select(ID, TARGET, "total_balance")
-    out = sampling.augment_clients(df, ["total_balance"], 2.0, 5, SEED)
     by = [client().alias("client"), F.col(TARGET).alias("label"), F.contains(F.col(ID), F.lit("#")).alias("synthetic")]
     x = F.col("total_balance")
-    return out.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("balance_sum"), F.sum(x * x).alias("balance_squares"))
+    return _augmented(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("balance_sum"), F.sum(x * x).alias("balance_squares"), F.sum("score").alias("score_sum"))
+
+
+def _smote_rows(spark, sf_dir):
+    made = _augmented(spark, sf_dir).where(F.contains(F.col(ID), F.lit("#")))
+    return made.select(ID, F.round("total_balance", 6).alias("total_balance"), F.round("score", 6).alias("score"))
 
 
 def _weights(spark, sf_dir):
@@ -57,19 +64,38 @@ def _pooled(spark, sf_dir):
     return evaluation.auc_by(_labelled(spark, sf_dir).withColumn("pool", F.lit(0)), ["pool"])
 
 
-def _drop(spark, sf_dir):
+def _client_mean(spark, sf_dir):
+    each = evaluation.auc_by(_labelled(spark, sf_dir).withColumn("client", client()), ["client"])
+    return evaluation.group_mean(each.withColumn("pool", F.lit(0)), ["pool"]).select(F.col("auc").alias("group_auc"))
+
+
+REPEATS = 5
+
+
+def _repeats(spark, sf_dir):
+    """The pooled AUC as it is and of each repeat of permuting the score."""
     df = _labelled(spark, sf_dir)
-    auc = lambda d, name: evaluation.auc_by(d.withColumn("pool", F.lit(0)), ["pool"]).select("pool", F.col("auc").alias(name))
-    shuffled = evaluation.permuted(df.select(ID, TARGET, "score"), "score", SEED, 0)
-    return auc(df, "base").join(auc(shuffled, "permuted"), "pool").select(F.col("base"), (F.col("base") - F.col("permuted")).alias("auc_drop"))
+    base = evaluation.auc_by(df.withColumn("pool", F.lit(0)), ["pool"]).select("pool", F.col("auc").alias("base"))
+    each = evaluation.auc_by(evaluation.permuted(df.select(ID, TARGET, "score"), "score", SEED, range(REPEATS)), ["_repeat"])
+    return each.withColumn("pool", F.lit(0)).join(F.broadcast(base), "pool").select(F.col("_repeat").alias("repeat"), "base", (F.col("base") - F.col("auc")).alias("drop"))  # one row
+
+
+def _drop(spark, sf_dir):
+    return _repeats(spark, sf_dir).where("repeat = 0").select("base", F.col("drop").alias("auc_drop"))
+
+
+def _importance(spark, sf_dir):
+    r = _repeats(spark, sf_dir)
+    return r.agg(F.avg("drop").alias("mean_auc_drop"), F.stddev_pop("drop").alias("std_auc_drop"))
 
 
 QUERIES = {
     "split_manifest": _split, "downsample": _down, "smote_counts": _smote, "smote_features": _smote_features, "sample_weights": _weights, "soft_routing_blend": _blend,
-    "group_auc": _group_auc, "pooled_auc": _pooled, "permutation_drop": _drop,
+    "group_auc": _group_auc, "pooled_auc": _pooled, "permutation_drop": _drop, "smote_rows": _smote_rows, "mean_group_auc": _client_mean,
+    "permutation_importance": _importance,
 }
 
-_LAB = "lab as (select id, y, substr(id, 1, 3) as client, (floor(bal) % 97) / 97 as score from cons where y is not null)"
+_LAB = "lab as (select id, y, bal, substr(id, 1, 3) as client, (floor(bal) % 97) / 97 as score from cons where y is not null)"
 _RANK = "sum(case when y = 1 then 1 else 0 end) * sum(case when y = 0 then 1 else 0 end)"
 
 
@@ -91,26 +117,36 @@ rk as (select id, client, y, row_number() over (partition by client, y order by
 """
 _UNIT = "cast(cast('0x' || substr(md5(j || '|{0}|42'), 1, 12) as bigint) as double) / 281474976710656"
 _SMOTE = f"""
-pos as (select id, substr(id, 1, 3) as client, coalesce(bal, 0.0) as x, row_number() over (partition by substr(id, 1, 3) order by md5(id || '|42'), id) - 1 as i from cons where y = 1),
+pos as (select id, client, coalesce(bal, 0.0) as x, score as z, row_number() over (partition by client order by md5(id || '|42'), id) - 1 as i
+  from (select id, client, bal, y, score from lab) where y = 1),
 sizes as (select client, count(*) as n, cast(round_even(count(*) * 2.0, 0) as bigint) - count(*) as extra, least(5, count(*) - 1) as k from pos group by client having count(*) >= 2),
 draws as (select client, j, cast(floor({_UNIT.format('base')} * n) as bigint) as i, cast(floor({_UNIT.format('pick')} * k) as bigint) + 1 as pick, {_UNIT.format('alpha')} as alpha
   from (select client, n, k, unnest(range(extra)) as j from sizes)),
-near as (select d.client, d.alpha, d.pick, b.x as bx, o.x as ox, row_number() over (partition by d.client, d.j order by (b.x - o.x) * (b.x - o.x), o.id) as r
+near as (select d.client, d.j, d.alpha, d.pick, b.id, b.x as bx, o.x as ox, b.z as bz, o.z as oz,
+  row_number() over (partition by d.client, d.j order by (b.x - o.x) * (b.x - o.x) + (b.z - o.z) * (b.z - o.z), o.id) as r
   from draws d join pos b on b.client = d.client and b.i = d.i join pos o on o.client = d.client and o.id <> b.id),
-every as (select substr(id, 1, 3) as client, y, false as synthetic, coalesce(bal, 0.0) as x from cons where y is not null
-  union all select client, 1.0, true, bx + alpha * (ox - bx) from near where r = pick)
+made as (select id || '#s' || j as id, client, bx + alpha * (ox - bx) as x, bz + alpha * (oz - bz) as z from near where r = pick),
+every as (select client, y, false as synthetic, coalesce(bal, 0.0) as x, score as z from lab
+  union all select client, 1.0, true, x, z from made)
+"""
+_REPEATS = f"""
+one as (select 0 as pool, * from lab), a as (select row_number() over (order by md5(id || '|row|42'), id) as r, y from lab),
+b as (select t, row_number() over (partition by t order by md5(id || '|score|' || t || '|42'), id) as r, score from lab, range(5) as ts(t)),
+mix as (select t, y, score from a join b on a.r = b.r),
+drops as (select z.t as repeat, x.auc as base, x.auc - z.auc as drop from ({_auc_sql('pool', 'one', 'score')}) x, ({_auc_sql('t', 'mix', 'score')}) z)
 """
 SQL = {
     "split_manifest": f"{_WITH}, {_QUOTA} select id as masked_consumer_id, rk.client, case when r <= nt then 'test' when r <= nt + nv then 'validation' else 'train' end as split from rk join q5 on rk.client = q5.client and rk.y = q5.y",
     "downsample": f"""{_WITH}, r as (select *, count(*) over (partition by y) as n, row_number() over (partition by y order by md5(id || '|42'), id) as k from lab)
       select id as masked_consumer_id, cast(y as double) as "FPF_TARGET" from r where y = 1 or k <= round_even(n * 0.2, 0)""",
-    "smote_counts": f"{_WITH} select cast(y as double) as label, case when y = 1 then cast(round_even(count(*) * 2.0, 0) as bigint) else count(*) end as n from lab where client = 'C01' group by y",
-    "smote_features": f"{_WITH}, {_SMOTE} select client, cast(y as double) as label, synthetic, count(*) as n, sum(x) as balance_sum, sum(x * x) as balance_squares from every group by client, y, synthetic",
+    "smote_counts": f"{_WITH}, {_SMOTE} select client, cast(y as double) as label, count(*) as n from every group by client, y",
+    "smote_features": f"{_WITH}, {_SMOTE} select client, cast(y as double) as label, synthetic, count(*) as n, sum(x) as balance_sum, sum(x * x) as balance_squares, sum(z) as score_sum from every group by client, y, synthetic",
+    "smote_rows": f"{_WITH}, {_SMOTE} select id as masked_consumer_id, round(x, 6) as total_balance, round(z, 6) as score from made",
+    "mean_group_auc": f"{_WITH} select avg(auc) as group_auc from ({_auc_sql('client', 'lab', 'score')})",
+    "permutation_importance": f"{_WITH}, {_REPEATS} select avg(drop) as mean_auc_drop, stddev_pop(drop) as std_auc_drop from drops",
     "sample_weights": f"{_WITH} select id as masked_consumer_id, case when y = 0 then 1 / 0.2 else 0.5 end as weight from lab",
     "soft_routing_blend": f"{_WITH} select id as masked_consumer_id, ((score / 2 + 0.1) * score + (0.6 - score / 2) * (1 - score)) / greatest(0.7, 1e-9) as risk from lab",
     "group_auc": f"{_WITH} {_auc_sql('client', 'lab', 'score')}",
     "pooled_auc": f"{_WITH}, one as (select 0 as pool, * from lab) {_auc_sql('pool', 'one', 'score')}",
-    "permutation_drop": f"""{_WITH}, one as (select 0 as pool, * from lab), a as (select row_number() over (order by id) as r, y from lab),
-      b as (select row_number() over (order by md5(id || '|score|0|42'), id) as r, score from lab), mix as (select 0 as pool, y, score from a join b on a.r = b.r)
-      select x.auc as base, x.auc - z.auc as auc_drop from ({_auc_sql('pool', 'one', 'score')}) x join ({_auc_sql('pool', 'mix', 'score')}) z on x.pool = z.pool""",
+    "permutation_drop": f"{_WITH}, {_REPEATS} select base, drop as auc_drop from drops where repeat = 0",
 }

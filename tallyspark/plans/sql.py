@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tallyspark.operators.feature_sets import resolve_feature_names
-from tallyspark.operators.features import PIVOTS, SERIES
+
+# Fixed values of the features' definitions, written out here so that the SQL checks the plans' own.
+PIVOTS = {"all": ((3, 12, 26), None), "d30": ((3, 12, 23, 26), 30), "d90": ((3, 10, 12, 23, 26), 90)}
+SERIES = ("inflow", "outflow", "net")
 
 _CODES = "case (l_partkey + l_linenumber) % 8 when 0 then 3 when 1 then 10 when 2 then 12 when 3 then 16 when 4 then 23 when 5 then 26 when 6 then 18 else 31 end"
 _KEY = "'C0' || cast({0} % 3 + 1 as varchar) || '_' || lpad(cast({0} as varchar), 8, '0')"
@@ -122,7 +124,3 @@ def features(names: list[str], ledger: str = ORDERS) -> str:
 
 def select(what: str, ledger: str = ORDERS) -> str:
     return f"with {ledger}{BODY} {what}"
-
-
-def frame(sets: list[str]) -> str:
-    return features(resolve_feature_names(sets))

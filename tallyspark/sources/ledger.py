@@ -52,30 +52,27 @@ def validate(consumers: DataFrame, transactions: DataFrame) -> tuple[DataFrame,
     for frame, columns, name in ((consumers, CONSUMER_COLUMNS, "Consumer"), (transactions, TRANSACTION_COLUMNS, "Transaction")):
         missing = sorted(set(columns) - set(frame.columns))
         if missing:
-            raise ValueError(f"{name} table is missing required columns: {missing}")
+            raise ValueError(f"{name} table lacks {missing}")
     out = []
     for frame, date, number, label, name in (
         (consumers, EVAL, "total_balance", TARGET, "Consumer"), (transactions, "posted_date", "amount", None, "Transaction"),
     ):
         kinds = dict(frame.dtypes)
         if kinds[ID] != "string":
-            raise ValueError(f"{name} IDs require a three-character client prefix.")
+            raise ValueError(f"{name} table: ids are text that begins with a client's three characters")
         if kinds[number] not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kinds[number].startswith("decimal"):
-            raise ValueError(f"{number} must be numeric.")
+            raise ValueError(f"{name} table: {number} is no number")
         if kinds[date] == "string":
             frame = frame.withColumn(date, F.try_to_timestamp(date).cast("timestamp_ntz"))
         elif kinds[date] != "timestamp_ntz":
             frame = frame.withColumn(date, F.col(date).cast("timestamp_ntz"))
         r = report(frame, date, number, label).collect()[0].asDict()
         if not r["n_rows"]:
-            raise ValueError("Consumer and transaction tables must both contain rows.")
-        for key, message in (
-            ("bad_ids", f"{name} IDs require a three-character client prefix."), ("repeated_ids", f"Consumer table must have exactly one row per {ID}."),
-            ("bad_labels", f"{TARGET} must be 0, 1, or null for unlabeled consumers."), ("bad_dates", f"{date} cannot contain null dates."),
-            ("infinite", f"{number} cannot contain infinite values."),
-        ):
-            if r.get(key):
-                raise ValueError(message)
+            raise ValueError(f"{name} table has no rows")
+        faults = {"bad_ids": "ids without a client's three characters", "repeated_ids": "ids that stand in several rows", "bad_labels": f"{TARGET} other than 0, 1 and null", "bad_dates": f"{date} without a date", "infinite": f"infinite {number}"}
+        found = [f"{r[key]} {what}" for key, what in faults.items() if r.get(key)]
+        if found:
+            raise ValueError(f"{name} table: {', '.join(found)}")
         out.append(frame)
     return out[0], out[1]
 

@@ -72,15 +72,15 @@ def test_balance_is_anchored_to_the_evaluation_date(spark):
 
 
 def test_names_resolve_in_order():
-    assert len(resolve_feature_names(["cashflow_60"])) == 60 and FEATURE_SETS["v15_4_keep_56"] == FEATURE_SETS["cashflow_56"]
+    assert len(resolve_feature_names(["ledger_60"])) == 60 and FEATURE_SETS["ledger_60"][:56] == FEATURE_SETS["ledger_56"]
     assert resolve_feature_names(["balance_4", "balance_4"], ["balance_min", "x"])[-1] == "x"
-    with pytest.raises(ValueError, match="Unknown feature set"):
+    with pytest.raises(ValueError, match="no feature set"):
         resolve_feature_names(["none"])
 
 
 def test_one_shuffle_of_transactions_and_no_python(spark):
     cons, tx = ledger_rows()
-    df = fx.build_feature_frame(spark.createDataFrame(cons, CONS), spark.createDataFrame(tx, TX), ["cashflow_56"], strict=False)
+    df = fx.build_feature_frame(spark.createDataFrame(cons, CONS), spark.createDataFrame(tx, TX), ["ledger_56"], strict=False)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Window") >= 1
 
@@ -89,6 +89,6 @@ def test_broken_contracts_are_named(spark):
     cons, tx = ledger_rows()
     c, t = spark.createDataFrame(cons, CONS), spark.createDataFrame(tx, TX)
     ledger.validate(c, t)
-    for bad, words in ((c.union(c), "exactly one row"), (c.drop("total_balance"), "missing required columns"), (c.where("1 = 0"), "both contain rows"), (c.selectExpr("'x' masked_consumer_id", "evaluation_date", "total_balance", "FPF_TARGET").limit(1), "three-character"), (c.selectExpr("masked_consumer_id", "evaluation_date", "total_balance", "2.0 FPF_TARGET"), "must be 0, 1"), (c.selectExpr("masked_consumer_id", "evaluation_date", "double('inf') total_balance", "FPF_TARGET"), "infinite")):
+    for bad, words in ((c.union(c), "several rows"), (c.drop("total_balance"), "lacks"), (c.where("1 = 0"), "no rows"), (c.selectExpr("'x' masked_consumer_id", "evaluation_date", "total_balance", "FPF_TARGET").limit(1), "three characters"), (c.selectExpr("masked_consumer_id", "evaluation_date", "total_balance", "2.0 FPF_TARGET"), "other than 0, 1"), (c.selectExpr("masked_consumer_id", "evaluation_date", "double('inf') total_balance", "FPF_TARGET"), "infinite")):
         with pytest.raises(ValueError, match=words):
             ledger.validate(bad, t)
