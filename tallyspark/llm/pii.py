@@ -6,11 +6,15 @@ estimated from the whole corpus: with n(t, e) the number of distinct contexts of
 number and the times t occurs in distinct texts outside of e's contexts, P(e | t) = (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR), and the pointwise information
 log2(P(e | t) / P(e)) is compared with the entity's own information -log2 P(e). A term is disclosing if their
 ratio exceeds DISCLOSURE. The prior draws the estimate towards P(e) where little is known of a term, so that
-entities in one or two contexts count too. Within the contexts of the entity, a disclosing term is removed from the
-text if P(e | t) is at least REMOVE, else generalised to its kind.
+entities in one or two contexts count too. In every text that mentions the entity a disclosing term goes, wherever
+it stands: it is removed if P(e | t) is at least REMOVE, else generalised to the longest of its beginnings whose
+class - all terms of the corpus that begin so - discloses no more than the threshold; if there is none, removed.
 
-Contexts are counted once for all copies of a passage, and a copied text's terms once for all its copies, so that
-copies make no term more disclosing nor less; mentions have at most 2 WIDTH terms, so the pairs grow with the mentions, not with their square.
+Contexts are the WIDTH terms on each side of a mention, however far they stand, and are counted once for all copies
+of a passage; a copied text's terms count once for all its copies, so that copies make no term more disclosing nor
+less. Mentions have at most 2 WIDTH terms, so the pairs that are counted grow with the mentions, not with their
+square. Of a text's terms further away only those that some entity's list may hold are paired with its entities: a
+filter of FILTER bits, the same size for any corpus, tells which; what it lets through by chance is joined away.
 
 Defined results: a null text counts as empty, has no spans and stays null when masked; kinds are matched
 independently and may overlap; masking merges overlapping spans and names the first; repeated rows are treated
@@ -21,9 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,11 +49,12 @@ REMOVE = 0.5
 SMALL = 50_000
 #: Hashes of copied texts that are broadcast at most (16 bytes each); more are joined by shuffle.
 COPIED = 1_000_000
+#: Bits of the filter of disclosing terms, which is sent to all executors.
+FILTER = 1 << 20
 #: Terms that a task counts before it hands on what it has.
 TERMS = 300_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -110,20 +117,35 @@ def entity(kind: str, value: str) -> str:
     return f"email:{value.lower()}" if kind == "email" else f"{kind}:{value}" if kind == "ip" else f"{kind}:{_DIGITS.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], width: int = WIDTH) -> Iterator[tuple[str, int, int, str]]:
-    """(entity, start, end, term) of the terms within width terms of a mention, outside all spans.
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Start and end of each term of the text, and whether it is outside of all spans."""
+    found = [m.span() for m in _TERM.finditer(text)]
+    merged: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    ends = [b for _, b in merged]
+    free = []
+    for a, b in found:
+        k = bisect_right(ends, a)  # the first span that ends after the term's start
+        free.append(k == len(merged) or merged[k][0] >= b)
+    return found, free
 
-    Only a bounded stretch of characters on each side is looked at; a term longer than that is none.
-    """
-    reach = 32 * width
+
+def contexts(text: str, spans: list[tuple[str, int, int]], width: int = WIDTH) -> Iterator[tuple[str, int, int, str]]:
+    """(entity, start, end, term) of the terms within width terms of a mention, outside all spans."""
+    if not spans:
+        return
+    found, free = terms_outside(text, spans)
+    starts, ends = [a for a, _ in found], [b for _, b in found]
     for kind, a, b in spans:
         e = entity(kind, text[a:b])
-        low = max(0, a - reach)
-        before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-width:]
-        after = [m for m in _TERM.finditer(text, b, min(len(text), b + reach)) if m.end() < b + reach or m.end() == len(text)][:width]
-        for m in before + after:
-            if not any(x < m.end() and m.start() < y for _, x, y in spans):
-                yield e, m.start(), m.end(), m[0].lower()
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        for k in (*range(max(0, before - width), before), *range(after, min(len(found), after + width))):
+            if free[k]:
+                yield e, starts[k], ends[k], text[starts[k] : ends[k]].lower()
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -185,7 +207,7 @@ def _with_copies(docs: DataFrame) -> DataFrame:
 def disclosing(
     docs: DataFrame, width: int = WIDTH, prior: float = PRIOR, disclosure: float = DISCLOSURE, remove: float = REMOVE
 ) -> DataFrame:
-    """entity, term, p, ratio, removed: the terms of the corpus that disclose an entity."""
+    """entity, term, p, ratio, removed, general: the terms of the corpus that disclose an entity, and what they are generalised to."""
     ship(docs.sparkSession)
     seen = cut(_with_copies(docs).mapInArrow(lambda it: _scan(it, width), "kind byte, entity string, term string, mark long, n double"))
     # shares of copied texts add up to whole numbers but for rounding
@@ -197,31 +219,70 @@ def disclosing(
     n_t = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term")
     whole = round(seen.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0]["n"] or 1)
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(whole)))
-    outside = F.greatest(F.round(F.col("n_t") - F.col("inside")), F.lit(0.0))
-    p = (F.col("n_te") + prior * p_e) / (F.col("n_te") + outside + prior)
-    out = joint.join(n_t, "term").join(total, "entity").withColumns({"p": p, "ratio": F.log2(p / p_e) / -F.log2(p_e)})
-    return out.where(F.col("ratio") > disclosure).select("entity", "term", "p", "ratio", (F.col("p") >= remove).alias("removed"))
+
+    def estimate(n_te: Column, inside: Column, n_t: Column) -> tuple[Column, Column]:
+        outside = F.greatest(F.round(n_t - inside), F.lit(0.0))
+        p = (n_te + prior * p_e) / (n_te + outside + prior)
+        return p, F.log2(p / p_e) / -F.log2(p_e)
+
+    p, ratio = estimate(F.col("n_te"), F.col("inside"), F.col("n_t"))
+    told = joint.join(n_t, "term").join(total, "entity").withColumns({"p": p, "ratio": ratio})
+    told = cut(told.where(F.col("ratio") > disclosure).select("entity", "term", "n_e", "p", "ratio", (F.col("p") >= remove).alias("removed")))
+    # the beginnings of a term, as long as its class may tell of the entity
+    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k)))
+    wanted = told.where("not removed and length(term) > 1").select("entity", "term", "n_e", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda k: F.substring("term", F.lit(1), k))).alias("begin"))
+    of_class = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).select(begins(F.col("term")).alias("begin"), "n_t")
+    of_class = of_class.join(wanted.select("begin").distinct(), "begin").groupBy("begin").agg(F.sum("n_t").alias("n_t"))
+    in_class = joint.join(wanted.select("entity").distinct(), "entity").select("entity", begins(F.col("term")).alias("begin"), "n_te", "inside")
+    in_class = in_class.groupBy("entity", "begin").agg(F.sum("n_te").alias("n_te"), F.sum("inside").alias("inside"))
+    p, ratio = estimate(F.col("n_te"), F.col("inside"), F.col("n_t"))
+    general = wanted.join(of_class, "begin").join(in_class, ["entity", "begin"]).where(ratio <= disclosure)
+    general = general.groupBy("entity", "term").agg(F.max_by("begin", F.length("begin")).alias("general"))
+    out = told.join(general, ["entity", "term"], "left")
+    return out.select("entity", "term", "p", "ratio", (F.col("removed") | F.col("general").isNull()).alias("removed"), F.when(~F.col("removed"), F.col("general")).alias("general"))
+
+
+def _bits(found: DataFrame) -> np.ndarray:
+    """The filter of found terms; at most FILTER numbers come to the driver."""
+    bits = np.zeros(FILTER, bool)
+    at = found.select(F.pmod(F.xxhash64("term"), F.lit(FILTER)).alias("at")).distinct().collect()
+    bits[[r["at"] for r in at]] = True
+    return np.packbits(bits)
 
 
 def _marked(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """uid, terms (array of start, end, removed) of the documents with disclosing terms."""
-    pair_type = "uid long, entity string, term string, start int, end int"
+    """uid, terms (array of term, removed, general) of the texts that mention an entity beside terms that disclose it."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(found))  # of fixed size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(5)]
+        cols: list[list] = [[] for _ in range(3)]
+        filled = np.unpackbits(bits.value).view(bool)
         for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = base_spans(text)
             if spans:
-                for e, a, b, t in contexts(text, spans, width):
-                    for c, x in zip(cols, (uid, e, t, a, b), strict=True):
-                        c.append(x)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["uid", "entity", "term", "start", "end"])
-
-    mentions = map_slices(docs.select("uid", "text"), run, pair_type)
-    hits = mentions.join(found.select("entity", "term", "removed"), ["entity", "term"])
-    hits = hits.groupBy("uid", "start", "end").agg(F.max("removed").alias("removed"))
-    return hits.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))
+                places, free = terms_outside(text, spans)
+                terms = {text[a:b].lower() for (a, b), f in zip(places, free, strict=True) if f}
+                terms = sorted(t for t in terms if filled[xxhash.xxh64_intdigest(t.encode(), 42) % FILTER])
+                for e in sorted({entity(kind, text[a:b]) for kind, a, b in spans}):
+                    cols[0] += [uid] * len(terms)
+                    cols[1] += [e] * len(terms)
+                    cols[2] += terms
+        kinds = [pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["uid", "entity", "term"])
+
+    mentions = map_slices(docs.select("uid", "text"), run, "uid long, entity string, term string").distinct()
+    hits = mentions.join(found.select("entity", "term", "removed", "general"), ["entity", "term"])
+    hits = hits.groupBy("uid", "term").agg(F.max("removed").alias("removed"), F.min_by("general", F.length("general")).alias("general"))
+    return hits.groupBy("uid").agg(F.collect_list(F.struct("term", "removed", "general")).alias("terms"))
+
+
+def places_of(text: str, base: list[tuple[str, int, int]], terms: list) -> list[tuple[int, int, bool, str | None]]:
+    """start, end, removed, general of each place of a text's disclosing terms outside of its base spans."""
+    if not terms:
+        return []
+    by = {t["term"]: (t["removed"], t["general"]) for t in terms}
+    found, free = terms_outside(text, base)
+    return [(a, b, *by[w]) for (a, b), f in zip(found, free, strict=True) if f and (w := text[a:b].lower()) in by]
 
 
 def key_of(text: Column) -> Column:
@@ -230,7 +291,7 @@ def key_of(text: Column) -> Column:
 
 
 def spans(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
-    """uid (key_of the text), terms of each distinct text with disclosing terms (array of start, end, removed)."""
+    """uid (key_of the text), terms of each distinct text with disclosing terms (array of term, removed, general)."""
     found = cut(disclosing(docs, width, **limits))
     return cut(_marked(docs.select(key_of(F.col("text")).alias("uid"), "text"), found, width))
 
@@ -246,32 +307,28 @@ def _with_terms(docs: DataFrame, width: int, **limits) -> DataFrame:
 
 def report(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs; added spans have kinds term and general."""
+    wide = _with_terms(docs.select(F.col("doc_id").cast("long"), "text"), width, **limits)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: list[list[int]] = [[] for _ in KINDS]
         sha, every = [], []
-        for text in batch.column(1).to_pylist():
+        for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             base = base_spans(text)
             for k, kind in enumerate(KINDS):
                 n[k].append(sum(s[0] == kind for s in base))
             sha.append(hashlib.sha256(written(base).encode()).hexdigest())
-            every.append(written(base))
-        arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(every, pa.string()), batch.column(2)]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "uid"])
+            more = places_of(text, base, terms)
+            added = [("term", a, b) for a, b, removed, _ in more if removed] + [("general", a, b) for a, b, removed, _ in more if not removed]
+            every.append(written(base + added))
+        arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(every, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, uid long"
-    base = map_slices(docs.select(F.col("doc_id").cast("long"), "text", key_of(F.col("text")).alias("uid")), run, schema)
-    out = base.join(_lightly(spans(docs, width, **limits)), "uid", "left")
-    part = lambda kind, removed: F.transform(
-        F.filter(F.array_sort(F.coalesce("terms", F.array())), lambda t: t["removed"] == F.lit(removed)),
-        lambda t: F.concat_ws(":", F.lit(kind), t["start"].cast("string"), t["end"].cast("string")),
-    )
-    texts = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), part("term", True), part("general", False))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", texts.alias("spans"))
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    return map_slices(wide.select("doc_id", "text", "__terms"), run, schema)
 
 
 def sanitise(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
-    """docs with entities masked as [EMAIL] and so on, disclosing terms removed ([REDACTED]) or generalised ([TERM])."""
+    """docs with entities masked as [EMAIL] and so on, disclosing terms removed ([REDACTED]) or generalised to a beginning ([zan*])."""
     schema = docs.schema
     wide = _with_terms(docs, width, **limits).select(*docs.columns, "__terms")
     at = docs.columns.index("text")
@@ -280,8 +337,9 @@ def sanitise(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for text, terms in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            found = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
-            found += [(t["start"], t["end"], "[REDACTED]" if t["removed"] else "[TERM]") for t in terms or ()]
+            base = base_spans(text)
+            found = [(a, b, f"[{k.upper()}]") for k, a, b in base]
+            found += [(a, b, "[REDACTED]" if removed else f"[{general}*]") for a, b, removed, general in places_of(text, base, terms)]
             texts.append(mask(text, found) if found else text)
         arrays = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
