@@ -2,25 +2,30 @@
 
 A rotation is learned (iterative quantisation) on a bounded sample, so that the signs of the rotated, centred
 vectors are balanced codes with little quantisation error. Every vector is coded. The code is cut into TABLES
-parts, each the key of a table; two vectors meet if in some table their parts differ in at most one bit: they
-share either the whole part, or the part without the bit that differs. What meets is reranked by the cosine of
-the original vectors in double precision, and only pairs at or above the threshold link. A pair is counted
-where it meets first, so that each link is counted once however many tables bring it together.
+parts, each the key of a table; two vectors meet if in some table their parts differ in at most one bit: a vector
+stands in the bucket of its part, and visits those of its part with one of the set bits cleared. What meets is
+reranked by the cosine of the original vectors in double precision, and only pairs at or above the threshold link.
+A pair is counted in the first table that brings it together, so that each link is counted once.
 
-Only buckets with vectors that can pair are gathered; a bucket of more than PART vectors is dealt out by pairs of
-parts, so that none is too large for a task, whatever shares a code.
+Equal vectors of a label are one class, which is coded and compared once and counts for as many vectors. Only
+buckets with classes that can pair are gathered; a bucket of more than PART classes is dealt out by pairs of parts,
+so that none is too large for a task, whatever shares a code. Parts have as many bits as the number of vectors
+has, BITS at least, so that buckets don't fill as tables grow.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-do vectors with a null label or of different lengths; exact copies link like others; rows without an id take no
-part and come back with null results; repeated ids are vectors each, and one id's rows get the sum of its links.
+do vectors with a null label or of different lengths; any other finite components are fine, however large or small;
+exact copies link like others; rows without an id take no part and come back with null results; repeated ids are
+vectors each, and one id's rows get the sum of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ TABLES, BITS = 4, 16
 PART = 1024
 #: Vectors of a bucket that is compared row by row, and vectors of a batch of buckets.
 SMALL, ROWS = 16, 4096
+#: Cosines this near to the threshold are summed exactly, so that a pair's fate doesn't hang on how it was found.
+CLOSE = 1e-9
 
 
 def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -69,145 +76,139 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int,
     return (signs.astype(np.int64) << np.arange(width)).sum(axis=2)
 
 
-def _links(a: pd.DataFrame, b: pd.DataFrame | None, t: int, bit: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs (one of each side; within a, if b is None) that link and meet here first."""
-    inner = b is None
-    b = a if inner else b
-    va, vb = (np.stack([np.frombuffer(v, np.float64) for v in f["v"]]) for f in (a, b))
-    ca, cb = (np.stack([np.frombuffer(c, np.int64) for c in f["code"]]) for f in (a, b))
-    i, j = np.nonzero(va @ vb.T >= threshold)
-    if inner:
-        i, j = i[i < j], j[i < j]
-    differ = ca[i] ^ cb[j]
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def at_least(s: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether cosines s of the rows of a and b reach the threshold."""
+    out = s >= threshold
+    for k in np.flatnonzero(np.abs(s - threshold) < CLOSE).tolist():
+        out[k] = math.fsum((a[k] * b[k]).tolist()) >= threshold
+    return out
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest row that each row of a symmetric matrix of links is connected with."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _links(pdf: pd.DataFrame, threshold: float, everywhere: bool) -> pd.DataFrame:
+    """uid, n, to of a bucket (or of two of its parts): links of each class and one that connects what links."""
+    v, c = (np.stack([np.frombuffer(x, kind) for x in pdf[f]]) for f, kind in (("v", np.float64), ("code", np.int64)))
+    t, bit, part, uid, lab, m = int(pdf["t"].iloc[0]), pdf["bit"].to_numpy(), pdf["p"].to_numpy(), pdf["uid"].to_numpy(), pdf["lab"].to_numpy(), pdf["m"].to_numpy()
+    s = v @ v.T
+    i, j = np.nonzero(np.triu(s >= threshold - CLOSE, 1))
+    ok = _meet(c, bit, lab, i, j, t) & (everywhere | (part[i] != part[j]))
+    i, j = i[ok], j[ok]
+    hit = at_least(s[i, j], v[i], v[j], threshold)
+    linked = np.zeros(s.shape, bool)
+    linked[i[hit], j[hit]] = linked[j[hit], i[hit]] = True
+    n = linked @ m
+    of = np.flatnonzero(n)
+    return pd.DataFrame({"uid": uid[of], "n": n[of], "to": uid[_roots(linked)[of]]})
+
+
+def _meet(c: np.ndarray, bit: np.ndarray, lab: np.ndarray, i: np.ndarray, j: np.ndarray, t) -> np.ndarray:
+    """Whether rows i and j, one of which stands in the bucket, meet first in table t."""
+    differ = c[i] ^ c[j]
     near = (differ & (differ - 1)) == 0  # by no bit, or by one
-    first = near.argmax(axis=1) == t
-    here = differ[:, t] == (0 if bit < 0 else 1 << bit)
-    keep = first & here
-    return i[keep], j[keep]
+    here = differ[np.arange(len(i)), t]
+    wanted = np.maximum(bit[i], bit[j]).astype(np.int64)
+    same = here == np.where(wanted < 0, 0, np.int64(1) << np.maximum(wanted, 0))
+    return (near.argmax(axis=1) == t) & same & (np.minimum(bit[i], bit[j]) < 0) & (lab[i] == lab[j])
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, width: int = BITS, sample: int = SAMPLE
+    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, width: int | None = None, sample: int = SAMPLE
 ) -> DataFrame:
     """id, n_links, component_id of each usable vector. vectors: id long, label, v array<double>."""
     spark = vectors.sparkSession
     ship(spark)
-    dims = [r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().limit(100).collect()]
-    if not dims:
+    sizes = {r["d"]: r["n"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return spark.createDataFrame([], "id long, n_links long, component_id long")
+    width = width or max(BITS, sum(sizes.values()).bit_length())
     rotations = {}
-    for d in dims:  # a table has one length as a rule; vectors of any other are coded by their own rotation
+    for d in sizes:  # a table has one length as a rule; vectors of any other are coded by their own rotation
         got = vectors.where(F.size("v") == d).select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).collect()
-        x = np.array([r["v"] for r in got], np.float64)
-        rotations[d] = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), tables * width)
+        rotations[d] = learn_rotation(units(np.array([r["v"] for r in got], np.float64)), tables * width)
     shared = spark.sparkContext.broadcast(rotations)  # dimensions x bits
 
     def code(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for d, part in pdf.groupby(pdf["v"].map(len)):
-                x = np.array(part["v"].tolist(), np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if d in shared.value:
-                    mean, projection = shared.value[d]
-                else:
-                    mean, projection = learn_rotation(np.eye(d), tables * width, 1)
-                c = codes(x, mean, projection, tables, width)
-                yield pd.DataFrame({"uid": part["uid"], "id": part["id"], "label": part["label"], "dim": d, "v": [r.tobytes() for r in x], "code": [r.tobytes() for r in c], "parts": list(c)})
+                x = units(np.array(part["v"].tolist(), np.float64))
+                c = codes(x, *shared.value[d], tables, width)
+                lab = [xxhash.xxh64_intdigest(f"{d}:{label}") - (1 << 63) for label in part["label"]]
+                same = [xxhash.xxh128_digest(r.tobytes()) for r in x]
+                yield pd.DataFrame({"uid": part["uid"], "id": part["id"], "lab": lab, "same": same, "v": [r.tobytes() for r in x], "code": [r.tobytes() for r in c], "parts": list(c)})
 
     numbered = vectors.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", F.col("label").cast("string").alias("label"), "v")
-    coded = cut(numbered.mapInPandas(code, "uid long, id long, label string, dim int, v binary, code binary, parts array<long>"))
-    # keys: the whole part (bit -1), and the part without each of its bits, with that bit's side
-    one = lambda t: F.concat(
-        F.array(F.struct(t.alias("t"), F.lit(-1).alias("bit"), F.col("parts")[t].alias("key"), F.lit(0).cast("long").alias("side"))),
-        F.transform(
-            F.array(*map(F.lit, range(width))),
-            lambda b: F.struct(
-                t.alias("t"), b.alias("bit"),
-                F.col("parts")[t].bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b))).alias("key"),
-                F.call_function("shiftright", F.col("parts")[t], b).bitwiseAND(F.lit(1).cast("long")).alias("side"),
-            ),
-        ),
-    )
-    keys = F.flatten(F.transform(F.array(*map(F.lit, range(tables))), one))
-    cell = ["label", "dim", "t", "bit", "key"]
-    entries = coded.select("uid", "label", "dim", F.explode(keys).alias("k")).select("uid", "label", "dim", "k.*")
-    count = entries.groupBy(cell).agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
-    count = count.where(((F.col("bit") < 0) & (F.col("n") > 1)) | ((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))
-    count = cut(count.select(*cell, "n", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
-    # a vector of part p goes to the cells (p, q) and (q, p) of its bucket
+    coded = cut(numbered.mapInPandas(code, "uid long, id long, lab long, same binary, v binary, code binary, parts array<long>"))
+    classes = cut(coded.groupBy("lab", "same").agg(F.min("uid").alias("rep"), F.count("*").alias("m")))
+    first = coded.join(classes.select(F.col("rep").alias("uid"), "m"), "uid")
+    # a class stands in the bucket of each part (bit -1), and visits those of the part without one of its bits
+    clear = lambda x, b: x.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    has = lambda x, b: F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("long")) == 1
+    every = F.array(*map(F.lit, range(width)))
+
+    def places(t: int):
+        x = F.col("parts")[t]
+        place = lambda b, key: F.struct(F.lit(t).cast("byte").alias("t"), b.cast("byte").alias("bit"), F.xxhash64("lab", F.lit(t), key).alias("cell"))
+        return F.concat(F.array(place(F.lit(-1), x)), F.transform(F.filter(every, lambda b: has(x, b)), lambda b: place(b, clear(x, b))))
+
+    entries = first.select("uid", F.explode(F.concat(*[places(t) for t in range(tables)])).alias("k")).select("uid", "k.*")
+    count = entries.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("bit") < 0).alias("stand")).where("n > 1 and stand > 0")
+    count = cut(count.select("cell", "n", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
+    # a class of part p goes to the cells (p, q) and (q, p) of its bucket
     part = F.pmod(F.xxhash64("uid"), F.col("parts"))
-    met = entries.join(count.drop("n"), cell).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("uid", *cell, "side", "p", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
+    met = entries.join(count.drop("n"), "cell").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("uid", "cell", "t", "bit", "p", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of many buckets: small ones all at once, by rows so many places apart; large ones by products of matrices."""
-        cell_ = [*cell, "low", "high"]
-        pdf = pdf.sort_values([*cell_, "uid"], ignore_index=True)
-        no = pdf.groupby(cell_, sort=False, dropna=False).ngroup().to_numpy()
+        by = ["cell", "low", "high"]
+        pdf = pdf.sort_values([*by, "uid"], ignore_index=True)
+        no = pdf.groupby(by, sort=False).ngroup().to_numpy()
         size = np.bincount(no)[no]
-        out = [large(tuple(part[cell_].iloc[0]), part.reset_index(drop=True)) for _, part in pdf[size > SMALL].groupby(no[size > SMALL])]
-        pdf, no = pdf[size <= SMALL].reset_index(drop=True), no[size <= SMALL]
+        out = [_links(part, threshold, part["low"].iloc[0] == part["high"].iloc[0]) for _, part in pdf[size > SMALL].groupby(no[size > SMALL])]
+        pdf, no = pdf[size <= SMALL], no[size <= SMALL]
         if len(pdf):
             v, c = (np.stack([np.frombuffer(x, kind) for x in pdf[f]]) for f, kind in (("v", np.float64), ("code", np.int64)))
-            uid, t, bit, side, part, low, high = (pdf[f].to_numpy() for f in ("uid", "t", "bit", "side", "p", "low", "high"))
+            uid, t, bit, part, low, high, lab, m = (pdf[f].to_numpy() for f in ("uid", "t", "bit", "p", "low", "high", "lab", "m"))
             for d in range(1, SMALL):
                 i = np.flatnonzero(no[d:] == no[:-d])
                 j = i + d
                 if not len(i):
                     break
-                ok = ((bit[i] < 0) | (side[i] != side[j])) & ((low[i] == high[i]) | (part[i] != part[j]))
+                ok = _meet(c, bit, lab, i, j, t[i]) & ((low[i] == high[i]) | (part[i] != part[j]))
                 i, j = i[ok], j[ok]
-                differ = c[i] ^ c[j]
-                first = ((differ & (differ - 1)) == 0).argmax(axis=1) == t[i]
-                here = differ[np.arange(len(i)), t[i]] == np.where(bit[i] < 0, 0, 1 << np.maximum(bit[i], 0).astype(np.int64))
-                i, j = i[first & here], j[first & here]
-                hit = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
-                i, j = uid[i[hit]], uid[j[hit]]
-                out.append(pd.DataFrame({"uid": np.concatenate([i, j]), "n": 1, "to": np.concatenate([j, i])}))
+                hit = at_least(np.einsum("ij,ij->i", v[i], v[j]), v[i], v[j], threshold)
+                i, j = i[hit], j[hit]
+                out.append(pd.DataFrame({"uid": np.concatenate([uid[i], uid[j]]), "n": np.concatenate([m[j], m[i]]), "to": np.concatenate([uid[j], uid[i]])}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"uid": [], "n": [], "to": []}, dtype="int64")
 
-    def large(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, bit, low, high = key[2], key[3], key[5], key[6]
-        pairs = []
-        if bit < 0 and low == high:
-            pairs.append((pdf, None))
-        elif bit < 0:
-            pairs.append((pdf[pdf["p"] == low], pdf[pdf["p"] == high]))
-        elif low == high:
-            pairs.append((pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]))
-        else:
-            for s in (0, 1):
-                pairs.append((pdf[(pdf["p"] == low) & (pdf["side"] == s)], pdf[(pdf["p"] == high) & (pdf["side"] == 1 - s)]))
-        n = np.zeros(len(pdf), np.int64)
-        parent = np.arange(len(pdf))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for a, b in pairs:
-            if len(a) and (b is None or len(b)):
-                i, j = _links(a, b, t, bit, threshold)
-                i, j = a.index.to_numpy()[i], (a if b is None else b).index.to_numpy()[j]
-                n += np.bincount(i, minlength=len(pdf)) + np.bincount(j, minlength=len(pdf))
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-        of = np.flatnonzero(n)
-        uid = pdf["uid"].to_numpy()
-        return pd.DataFrame({"uid": uid[of], "n": n[of], "to": uid[[find(x) for x in of.tolist()]] if len(of) else uid[of]})
-
     rows = count.agg(F.sum(F.col("n") * F.col("parts")).alias("n")).collect()[0]["n"] or 0
-    batch = F.pmod(F.xxhash64(*cell, "low", "high"), F.lit(1 + rows // ROWS))  # buckets are compared by the batch
-    found = met.join(coded.select("uid", "v", "code"), "uid").withColumn("batch", batch).groupBy("batch").applyInPandas(compare, "uid long, n long, to long")
-    found = cut(found)
-    links = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
-    roots = components(found.select("uid", "to"), "uid", "to").select(F.col("node").alias("uid"), "root")
-    out = coded.select("uid", "id").join(links, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    least = out.groupBy("root").agg(F.min("id").alias("component_id"))
-    return out.join(least, "root").groupBy("id").agg(F.sum(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.min("component_id").alias("component_id"))
+    batch = F.pmod(F.xxhash64("cell", "low", "high"), F.lit(1 + rows // ROWS))  # buckets are compared by the batch
+    whole = met.join(first.select("uid", "lab", "v", "code", "m"), "uid").withColumn("batch", batch)
+    found = cut(whole.groupBy("batch").applyInPandas(compare, "uid long, n long, to long"))
+    links = found.groupBy(F.col("uid").alias("rep")).agg(F.sum("n").alias("n"))
+    roots = components(found.select("uid", "to"), "uid", "to").select(F.col("node").alias("rep"), "root")
+    of_class = classes.join(links, "rep", "left").join(roots, "rep", "left")
+    of_class = of_class.select("lab", "same", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    least = coded.select("id", "lab", "same").groupBy("lab", "same").agg(F.min("id").alias("id")).join(of_class.select("lab", "same", "root"), ["lab", "same"])
+    of_class = of_class.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root")
+    out = coded.select("id", "lab", "same").join(of_class, ["lab", "same"])
+    return out.groupBy("id").agg(F.sum("n_links").cast("long").alias("n_links"), F.min("component_id").alias("component_id"))
 
 
 def dedup(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,17 +1,21 @@
 """Exact top-k search by distributed histogram selection.
 
 All candidates are scored against all queries in blocks. A first pass finds each query's range of scores; then
-the score axis is cut into BINS bins and the blocks' histograms are summed, which tells in which bin the kth
+the score axis is cut into BINS bins and a histogram of all scores is summed, which tells in which bin the kth
 value lies; that bin is cut again, until it is one score wide. With each query's kth value known, a last pass
 keeps scores above it and, of those that tie with it, the smallest ids; ranks are dealt out at the end.
 
-What is moved per pass are the blocks and BINS counts for each query and block, whatever the number of
-candidates; no list of candidates is gathered before the kth value is known.
+Candidates are gathered into blocks once and stay where they are. Queries come to them in rounds of at most ROUND
+blocks of queries, which are broadcast (ROUND * QUERY_BYTES bytes at most); a task adds up one histogram for each
+query of the round over all of its candidate blocks before it hands it on, so that what moves in a pass is BINS
+counts for each query and task, and no list of candidates is gathered before the kth value is known. A round's
+ranges are kept by the driver, a few numbers for each of its queries.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of
 other lengths than a query's are no candidates of it; a query with fewer than k candidates returns all; rows
-with a null id take no part; repeated ids are candidates each, but never of a query of their own id; of several queries with
-one id, that with the smallest components is asked.
+with a null id take no part; repeated ids are candidates each, but never of a query of their own id; of several
+queries with one id, that with the smallest components is asked; components or scores that a 64-bit whole number
+can't hold are an error.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut, ship, table
 
-BINS = 512
-#: Vectors in a block of candidates and of queries.
-BLOCK, QUERIES = 8192, 512
+BINS = 64
+#: Vectors in a block of candidates; bytes of a block of queries and blocks of a round.
+BLOCK, QUERY_BYTES, ROUND = 8192, 1 << 18, 16
+#: Queries whose histograms move as one row.
+TOGETHER = 64
 
 
 def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
@@ -45,17 +51,113 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return keyed.groupBy("dim", name).applyInPandas(gather, f"dim int, {name} long, ids binary, data binary")
 
 
-def _scores(row, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids, scores and which of them count. Products of doubles are exact below 2**53."""
-    q, c = np.frombuffer(row.qdata, np.int64).reshape(-1, dim), np.frombuffer(row.data, np.int64).reshape(-1, dim)
-    qid, cid = np.frombuffer(row.qids, np.int64), np.frombuffer(row.ids, np.int64)
-    large = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim
-    s = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if large < 2**53 else q @ c.T
-    return qid, cid, s, qid[:, None] != cid[None, :]
+def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: by doubles below 2**53, else by 64-bit numbers."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if most < 2**53:
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if most >= 2**63:
+        raise OverflowError("scores of these vectors don't fit 64 bits")
+    return q @ c.T
+
+
+def _round(base: DataFrame, dim: int, asked: list, k: int) -> DataFrame:
+    """query_id, id, score: the k best of each query of a round, and more that tie with the kth. asked: rows of query blocks."""
+    sc = base.sparkSession.sparkContext
+    qid = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in asked])
+    vectors = np.concatenate([np.frombuffer(r["data"], np.int64).reshape(-1, dim) for r in asked])
+    queries = sc.broadcast((qid, vectors))  # ROUND * QUERY_BYTES at most
+    here = base.where(F.col("dim") == dim)
+    size = len(qid)
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def scored(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, scores and which of them count, for each block of candidates."""
+        qid, q = queries.value
+        for pdf in it:
+            for row in pdf.itertuples():
+                ids = np.frombuffer(row.ids, np.int64)
+                yield ids, scores(q, np.frombuffer(row.data, np.int64).reshape(-1, dim)), qid[:, None] != ids[None, :]
+
+    def ranges(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lo, hi, n = np.full(size, most), np.full(size, least), np.zeros(size, np.int64)
+        for _, s, own in scored(it):
+            lo = np.minimum(lo, np.where(own, s, most).min(axis=1))
+            hi = np.maximum(hi, np.where(own, s, least).max(axis=1))
+            n += own.sum(axis=1)
+        of = np.flatnonzero(n)
+        yield pd.DataFrame({"q": of, "lo": lo[of], "hi": hi[of], "n": n[of]})
+
+    got = here.mapInPandas(ranges, "q long, lo long, hi long, n long").groupBy("q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
+    lo, hi, want = np.zeros(size, np.int64), np.full(size, -1), np.zeros(size, np.int64)
+    for r in got:  # want: the kth largest of those in [lo, hi], or the smallest if there are fewer
+        lo[r["q"]], hi[r["q"]], want[r["q"]] = r["lo"], r["hi"], min(k, r["n"])
+
+    while (hi > lo).any():
+        # BINS of them reach from lo beyond hi; differences are unsigned, so that none overflows
+        width = (hi.view(np.uint64) - lo.view(np.uint64)) // np.uint64(BINS) + np.uint64(1)
+        width = np.where(hi > lo, width, np.uint64(1))
+        state = sc.broadcast((lo, hi, width))
+
+        def histograms(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            lo, hi, width = state.value
+            open_ = np.flatnonzero(hi > lo)
+            counts = np.zeros((size, BINS), np.int64)
+            some = False
+            for _, s, own in scored(it):
+                at, col = np.nonzero(own[open_] & (s[open_] >= lo[open_, None]) & (s[open_] <= hi[open_, None]))
+                at = open_[at]
+                bins = (s[at, col].view(np.uint64) - lo.view(np.uint64)[at]) // width[at]
+                counts += np.bincount(at * BINS + bins.astype(np.int64), minlength=size * BINS).reshape(size, BINS)
+                some = True
+            if some:
+                for a in range(0, size, TOGETHER):
+                    if counts[a : a + TOGETHER].any():
+                        yield pd.DataFrame({"a": [a], "counts": [counts[a : a + TOGETHER].tobytes()]})
+
+        def summed(it: Iterator[pd.DataFrame], state=state, want=want) -> Iterator[pd.DataFrame]:
+            """The bin of each query's kth value, and the scores above that bin; rows come sorted by a."""
+            before, total = -1, np.zeros(0, np.int64)
+
+            def found() -> pd.DataFrame:
+                rows = total.reshape(-1, BINS)
+                q = np.arange(before, before + len(rows))
+                down = np.cumsum(rows[:, ::-1], axis=1)  # from the highest bin down
+                first = (down >= want[q, None]).argmax(axis=1)
+                above = np.where(first > 0, down[np.arange(len(q)), first - 1], 0)
+                done = rows.any(axis=1)
+                return pd.DataFrame({"q": q, "bin": BINS - 1 - first, "above": above})[done]
+
+            for pdf in it:
+                for row in pdf.itertuples():
+                    if row.a != before:
+                        if before >= 0:
+                            yield found()
+                        before, total = row.a, np.zeros(len(row.counts) // 8, np.int64)
+                    total = total + np.frombuffer(row.counts, np.int64)
+            if before >= 0:
+                yield found()
+
+        counted = here.mapInPandas(histograms, "a long, counts binary").repartition("a").sortWithinPartitions("a")
+        lo, hi, want = lo.copy(), hi.copy(), want.copy()
+        for r in counted.mapInPandas(summed, "q long, bin long, above long").collect():
+            q, w = r["q"], int(width[r["q"]])
+            lo[q] += r["bin"] * w
+            hi[q] = min(int(hi[q]), int(lo[q]) + w - 1)
+            want[q] -= r["above"]
+
+    final = sc.broadcast((lo, hi, want))
 
+    def chosen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kth, hi, want = final.value
+        for ids, s, own in scored(it):
+            own &= (hi >= kth)[:, None]
+            tie = own & (s == kth[:, None])
+            tie &= np.cumsum(tie, axis=1) <= want[:, None]  # a block's ids ascend: the smallest come first
+            at, col = np.nonzero((own & (s > kth[:, None])) | tie)
+            yield pd.DataFrame({"query_id": queries.value[0][at], "id": ids[col], "score": s[at, col]})
 
-def _bins(s: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    return (s - low[:, None]) // width[:, None]
+    return here.mapInPandas(chosen, "query_id long, id long, score long")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -64,76 +166,16 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ship(spark)
     base = cut(blocks(candidates, BLOCK, "block"))
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(blocks(queries, QUERIES, "part").select("dim", "part", F.col("ids").alias("qids"), F.col("data").alias("qdata")))
-    pairs = base.join(asked, "dim").repartition("dim", "block", "part")  # blocks meet, not rows
-
-    def ranges(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for row in pdf.itertuples():
-                qid, _, s, own = _scores(row, row.dim)
-                lo = np.where(own, s, np.iinfo(np.int64).max).min(axis=1)
-                hi = np.where(own, s, np.iinfo(np.int64).min).max(axis=1)
-                n = own.sum(axis=1)
-                yield pd.DataFrame({"query_id": qid, "dim": row.dim, "part": row.part, "lo": lo, "hi": hi, "n": n})[n > 0]
-
-    state = pairs.mapInPandas(ranges, "query_id long, dim int, part long, lo long, hi long, n long")
-    state = state.groupBy("query_id", "dim", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    # want: the kth largest of those in [lo, hi], or the smallest if there are fewer
-    state = cut(state.withColumn("want", F.least(F.lit(k).cast("long"), F.col("n"))).drop("n"))
-
-    def with_state(now: DataFrame) -> DataFrame:
-        held = now.groupBy("dim", "part").agg(F.collect_list(F.struct("query_id", "lo", "hi", "want")).alias("state"))
-        return pairs.join(held, ["dim", "part"])  # at most QUERIES entries a block
-
-    def known(row) -> tuple[np.ndarray, ...]:
-        by = {x["query_id"]: (x["lo"], x["hi"], x["want"]) for x in row.state}
-        qid = np.frombuffer(row.qids, np.int64)
-        none = (0, -1, 0)
-        return tuple(np.array([by.get(q, none)[j] for q in qid.tolist()], np.int64) for j in range(3))
-
-    def histograms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for row in pdf.itertuples():
-                lo, hi, _ = known(row)
-                qid, _, s, own = _scores(row, row.dim)
-                width = np.maximum(1, -(-(hi - lo + 1) // BINS))
-                inside = own & (s >= lo[:, None]) & (s <= hi[:, None]) & (hi > lo)[:, None]
-                at, col = np.nonzero(inside)
-                b = _bins(s, lo, width)[at, col]
-                cell, n = np.unique(at * BINS + b, return_counts=True)
-                yield pd.DataFrame({"query_id": qid[cell // BINS], "bin": cell % BINS, "n": n})
-
-    while state.where("hi > lo").limit(1).count():
-        counted = with_state(state.where("hi > lo")).mapInPandas(histograms, "query_id long, bin long, n long")
-        counted = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        held = counted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("bin")).alias("down"), "n"))).alias("bins"))
-
-        # from the highest bin down: the first bin at which as many as wanted are reached
-        step = lambda acc, x: F.when(acc["found"], acc).otherwise(
-            F.when(acc["above"] + x["n"] >= F.col("want"), F.struct(acc["above"].alias("above"), (-x["down"]).alias("bin"), F.lit(True).alias("found")))
-            .otherwise(F.struct((acc["above"] + x["n"]).alias("above"), acc["bin"].alias("bin"), F.lit(False).alias("found")))
-        )
-        start = F.struct(F.lit(0).cast("long").alias("above"), F.lit(0).cast("long").alias("bin"), F.lit(False).alias("found"))
-        width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("hi") - F.col("lo") + 1) / BINS).cast("long"))
-        moved = state.where("hi > lo").join(held, "query_id").withColumn("at", F.aggregate("bins", start, step)).withColumn("w", width)
-        low = F.col("lo") + F.col("at.bin") * F.col("w")
-        moved = moved.select("query_id", "dim", "part", low.alias("lo"), F.least("hi", low + F.col("w") - 1).alias("hi"), (F.col("want") - F.col("at.above")).alias("want"))
-        state = cut(state.where("hi <= lo").unionByName(moved))
-
-    def chosen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for row in pdf.itertuples():
-                kth, hi, want = known(row)
-                qid, cid, s, own = _scores(row, row.dim)
-                own &= (hi >= kth)[:, None]
-                above = own & (s > kth[:, None])
-                tie = own & (s == kth[:, None])
-                tie &= np.cumsum(tie, axis=1) <= want[:, None]  # a block's ids ascend: the smallest come first
-                at, col = np.nonzero(above | tie)
-                yield pd.DataFrame({"query_id": qid[at], "id": cid[col], "score": s[at, col]})
-
-    kept = with_state(state).mapInPandas(chosen, "query_id long, id long, score long")
-    best = kept.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))), 1, k).alias("top"))
+    most = queries.agg(F.max(F.size("v")).alias("dim")).collect()[0]["dim"] or 1
+    asked = cut(blocks(queries, max(1, QUERY_BYTES // (8 * most)), "part"))
+    names = sorted((r["dim"], r["part"]) for r in asked.select("dim", "part").collect())  # one for each block of queries
+    out = spark.createDataFrame([], "query_id long, id long, score long")
+    for dim in sorted({d for d, _ in names}):
+        parts = [p for d, p in names if d == dim]
+        for a in range(0, len(parts), ROUND):
+            rows = asked.where((F.col("dim") == dim) & F.col("part").isin(parts[a : a + ROUND])).collect()
+            out = out.unionByName(_round(base, dim, rows, k))
+    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))), 1, k).alias("top"))
     out = best.select("query_id", F.posexplode("top").alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.down")).alias("score"))
 
@@ -146,7 +188,8 @@ def usable(v: Column) -> Column:
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    whole = lambda x: F.when(F.abs(x) < 2.0**54, F.floor(x.cast("double") * 256)).otherwise(F.raise_error(F.lit("256 times a component doesn't fit 64 bits")).cast("long"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", whole).alias("v"))
     out = top_k(rows, rows.where(F.col("id") % 50 == 0), 5)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 

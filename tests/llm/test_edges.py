@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -66,6 +67,37 @@ def test_vectors_of_odd_rows(spark):
     assert [r["id"] for r in topk.top_k(v, v.where("id = 0"), 2).orderBy("rank").collect()] == [1, 2]  # ties go to smaller ids
 
 
+def test_finite_vectors_of_any_size_are_compared(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [2e-200, 4e-200]), (2, [1e200, 2e200]), (3, [1e308, 1e308]), (4, [5e-324, 5e-324]), (5, [-1e200, 2e200]), (6, [1e200, 1e-200]), (7, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(df).collect()}
+    assert out == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+def test_large_buckets_and_parts_decide_like_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((3, 12))
+    v = np.concatenate([base[k] + 0.05 * rng.standard_normal((25, 12)) for k in range(3)] + [np.repeat(base[:1], 9, 0)])
+    df = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = []
+    for small, part in ((16, 1024), (2, 1024), (2, 5), (64, 1024)):
+        monkeypatch.setattr(embedding_dedup, "SMALL", small)
+        monkeypatch.setattr(embedding_dedup, "PART", part)
+        got.append(sorted(tuple(r) for r in embedding_dedup.dedup(df).collect()))
+    assert got[0] == got[1] == got[2] == got[3] and sum(r[1] for r in got[0]) > 100
+
+
+def test_scores_that_overflow_are_an_error(spark):
+    big = spark.createDataFrame([(i, [2**40, i]) for i in range(3)], "id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(big, big, 1).collect()
+    wide = spark.createDataFrame([(i, [2**30 + i, -(2**30) + 3 * i]) for i in range(6)], "id long, v array<long>")
+    vs = [(2**30 + i, -(2**30) + 3 * i) for i in range(6)]
+    for r in topk.top_k(wide, wide, 2).collect():
+        a, b = vs[r["query_id"]], vs[r["id"]]
+        assert r["score"] == a[0] * b[0] + a[1] * b[1]
+
+
 def test_chat_and_language_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, None, None, "k"), (1, 0, "user", "", "k"), (1, 0, "user", "", "k"), (1, None, "assistant", "x" * 100_000, "k")], "conv_id long, turn long, role string, content string, formatted string")
     got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(rows)).collect()}

@@ -169,7 +169,10 @@ def test_line_dedup_by_host(spark):
     assert line_dedup.drop_lines(copies).where("text = 'same\nline'").count() == 50
 
 
-def test_topk_is_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16, "QUERY_BYTES": 100, "ROUND": 2, "TOGETHER": 2, "BINS": 3}])
+def test_topk_is_brute_force(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(7)
     v = rng.integers(-9, 9, (120, 6))
     v[50:60] = v[0]
