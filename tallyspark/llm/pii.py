@@ -49,6 +49,8 @@ REMOVE = 0.5
 SMALL = 50_000
 #: Hashes of copied texts that are broadcast at most (16 bytes each); more are joined by shuffle.
 COPIED = 1_000_000
+#: Beginnings of disclosing terms that are broadcast at most (some 20 bytes each); more are joined by shuffle.
+BEGINS = 500_000
 #: Bits of the filter of disclosing terms, which is sent to all executors.
 FILTER = 1 << 20
 #: Terms that a task counts before it hands on what it has.
@@ -213,11 +215,10 @@ def disclosing(
     # shares of copied texts add up to whole numbers but for rounding
     pairs = seen.where("kind = 1").groupBy("entity", "term", "mark").agg(F.sum("n").alias("n"))
     total = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.sum("n").alias("inside"))
-    candidates = joint.select("term").distinct()
-    # of the counts only those of terms in contexts are wanted; both sides are combined before they meet
-    n_t = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).join(candidates, "term")
-    whole = round(seen.where("kind = 0").agg(F.sum("n").alias("n")).collect()[0]["n"] or 1)
+    joint = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.sum("n").alias("inside")))
+    counts = cut(seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")))  # a row for each different term
+    n_t = counts.join(joint.select("term").distinct(), "term")
+    whole = round(counts.agg(F.sum("n_t").alias("n")).collect()[0]["n"] or 1)
     p_e = F.least(F.lit(1.0), F.col("n_e") / F.lit(float(whole)))
 
     def estimate(n_te: Column, inside: Column, n_t: Column) -> tuple[Column, Column]:
@@ -231,9 +232,10 @@ def disclosing(
     # the beginnings of a term, as long as its class may tell of the entity
     begins = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k)))
     wanted = told.where("not removed and length(term) > 1").select("entity", "term", "n_e", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda k: F.substring("term", F.lit(1), k))).alias("begin"))
-    of_class = seen.where("kind = 0").groupBy("term").agg(F.sum("n").alias("n_t")).select(begins(F.col("term")).alias("begin"), "n_t")
-    of_class = of_class.join(wanted.select("begin").distinct(), "begin").groupBy("begin").agg(F.sum("n_t").alias("n_t"))
-    in_class = joint.join(wanted.select("entity").distinct(), "entity").select("entity", begins(F.col("term")).alias("begin"), "n_te", "inside")
+    asked = cut(wanted.select("begin").distinct())
+    asked = F.broadcast(asked) if asked.count() <= BEGINS else asked
+    of_class = counts.select(begins(F.col("term")).alias("begin"), "n_t").join(asked, "begin").groupBy("begin").agg(F.sum("n_t").alias("n_t"))
+    in_class = joint.join(wanted.select("entity").distinct(), "entity").select("entity", begins(F.col("term")).alias("begin"), "n_te", "inside").join(asked, "begin")
     in_class = in_class.groupBy("entity", "begin").agg(F.sum("n_te").alias("n_te"), F.sum("inside").alias("inside"))
     p, ratio = estimate(F.col("n_te"), F.col("inside"), F.col("n_t"))
     general = wanted.join(of_class, "begin").join(in_class, ["entity", "begin"]).where(ratio <= disclosure)
