@@ -7,8 +7,8 @@ number and the times t occurs in distinct texts outside of e's contexts, P(e | t
 log2(P(e | t) / P(e)) is compared with the entity's own information -log2 P(e). A term is disclosing if their
 ratio exceeds DISCLOSURE. The prior draws the estimate towards P(e) where little is known of a term, so that
 entities in one or two contexts count too. In every text that mentions the entity a disclosing term goes, wherever
-it stands: it is removed if P(e | t) is at least REMOVE, else generalised to the longest of its beginnings whose
-class - all terms of the corpus that begin so - discloses no more than the threshold; if there is none, removed.
+it stands: it is removed if P(e | t) is at least REMOVE, else generalised to the longest of its beginnings of LETTERS
+letters or fewer whose class - all terms of the corpus that begin so - discloses no more than the threshold; if there is none, removed.
 
 Contexts are the WIDTH terms on each side of a mention, however far they stand, and are counted once for all copies
 of a passage; a copied text's terms count once for all its copies, so that copies make no term more disclosing nor
@@ -51,6 +51,8 @@ SMALL = 50_000
 COPIED = 1_000_000
 #: Beginnings of disclosing terms that are broadcast at most (some 20 bytes each); more are joined by shuffle.
 BEGINS = 500_000
+#: Letters of a generalised term at most, so that a word of n letters has no n beginnings of up to n letters.
+LETTERS = 64
 #: Bits of the filter of disclosing terms, which is sent to all executors.
 FILTER = 1 << 20
 #: Terms that a task counts before it hands on what it has.
@@ -230,12 +232,15 @@ def disclosing(
     told = joint.join(n_t, "term").join(total, "entity").withColumns({"p": p, "ratio": ratio})
     told = cut(told.where(F.col("ratio") > disclosure).select("entity", "term", "n_e", "p", "ratio", (F.col("p") >= remove).alias("removed")))
     # the beginnings of a term, as long as its class may tell of the entity
-    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k)))
-    wanted = told.where("not removed and length(term) > 1").select("entity", "term", "n_e", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda k: F.substring("term", F.lit(1), k))).alias("begin"))
+    def begins(c: Column, short: int = 0) -> Column:
+        to = F.least(F.length(c) - short, F.lit(LETTERS))
+        return F.explode(F.transform(F.sequence(F.lit(1), to), lambda k: F.substring(c, F.lit(1), k))).alias("begin")
+
+    wanted = told.where("not removed and length(term) > 1").select("entity", "term", "n_e", begins(F.col("term"), 1))
     asked = cut(wanted.select("begin").distinct())
     asked = F.broadcast(asked) if asked.count() <= BEGINS else asked
-    of_class = counts.select(begins(F.col("term")).alias("begin"), "n_t").join(asked, "begin").groupBy("begin").agg(F.sum("n_t").alias("n_t"))
-    in_class = joint.join(wanted.select("entity").distinct(), "entity").select("entity", begins(F.col("term")).alias("begin"), "n_te", "inside").join(asked, "begin")
+    of_class = counts.select(begins(F.col("term")), "n_t").join(asked, "begin").groupBy("begin").agg(F.sum("n_t").alias("n_t"))
+    in_class = joint.join(wanted.select("entity").distinct(), "entity").select("entity", begins(F.col("term")), "n_te", "inside").join(asked, "begin")
     in_class = in_class.groupBy("entity", "begin").agg(F.sum("n_te").alias("n_te"), F.sum("inside").alias("inside"))
     p, ratio = estimate(F.col("n_te"), F.col("inside"), F.col("n_t"))
     general = wanted.join(of_class, "begin").join(in_class, ["entity", "begin"]).where(ratio <= disclosure)

@@ -122,3 +122,14 @@ def test_generalised_terms_keep_a_beginning_that_tells_little(spark):
     df = documents(spark, "sf0.01")
     found = pii.disclosing(df).where("not removed").collect()
     assert found and all(r["term"].startswith(r["general"]) and len(r["general"]) < len(r["term"]) for r in found)
+
+
+def test_very_long_terms_have_a_bounded_beginning(spark):
+    long = "q" * 150_000
+    texts = [f"{long}{c} {c}1@mail.example.com" for c in "xy"] + [f"{long}{c} other words here" for c in "xxyy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = "q" * pii.LETTERS
+    found = {(r["entity"], r["term"], r["general"]) for r in pii.disclosing(df, disclosure=0.5).collect()}
+    assert found == {(f"email:{c}1@mail.example.com", long + c, short) for c in "xy"}
+    out = [r["text"] for r in pii.sanitise(df, disclosure=0.5).orderBy("doc_id").collect()]
+    assert out == [f"[{short}*] [EMAIL]"] * 2 + texts[2:]
