@@ -292,13 +292,14 @@ def worker_library(source) -> Callable[[str], np.ndarray]:
         if rising == sorted(rising) and all(i < rising[0] for b, i in own.ids.items() if len(b) == 1):
             import tiktoken
 
+            # own is let go; where the library gives up it is made again
             library = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=own.ids, special_tokens=own.special)
 
             def by_library(text: str) -> np.ndarray:
                 try:
                     return library.encode_to_numpy(text, allowed_special="all")
                 except ValueError:  # its pattern gives up on very long runs of blanks
-                    return np.array(own.encode_batch([text])[0], np.uint32)
+                    return np.array(encoder(data).encode_batch([text])[0], np.uint32)
 
             _LIBRARY[key] = by_library
         else:

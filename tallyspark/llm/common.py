@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: shipping code, checkpoints, Arrow slices."""
+"""What the operators of this subpackage share: shipping code, checkpoints, Arrow slices, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -55,6 +56,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system: idle workers, which Spark keeps, would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, and release() at their end."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def map_slices(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = ROWS
 ) -> DataFrame:
@@ -67,7 +84,7 @@ def map_slices(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda it: releasing(run(it)), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, ship, table
+from tallyspark.llm.common import cut, release, releasing, ship, table
 from tallyspark.llm.components import components
 
 #: Repeating n-grams of which the order holds the frequency: the most frequent ones, 16 bytes each.
@@ -564,14 +564,14 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("id", text_key(F.col("text")).alias("t"), "text")
-    first = cut(docs.mapInArrow(lambda it: _sketch(it, n), "kind byte, id long, t long, n long, s binary, sig binary, token long"))
+    first = cut(docs.mapInArrow(lambda it: releasing(_sketch(it, n)), "kind byte, id long, t long, n long, s binary, sig binary, token long"))
     rows = first.where("kind = 0").select("id", "t", "n", "s")
     often = first.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     order = spark.sparkContext.broadcast(  # FREQUENT entries at most
         Order(np.array([r["token"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64))
     )
-    entries = docs.where("id is not null").select("text").mapInArrow(lambda it: _prefixes(it, n, percent, order.value), "token long, s long, n int")
-    runs = entries.repartition("token").sortWithinPartitions("token", "n", "s").mapInArrow(lambda it: _runs(it, percent), "run long, s long, c long")
+    entries = docs.where("id is not null").select("text").mapInArrow(lambda it: releasing(_prefixes(it, n, percent, order.value)), "token long, s long, n int")
+    runs = entries.repartition("token").sortWithinPartitions("token", "n", "s").mapInArrow(lambda it: releasing(_runs(it, percent)), "run long, s long, c long")
     runs = cut(runs.groupBy("run", "s").agg(F.sum("c").alias("c")))
     sets = first.where("kind = 0 and s is not null and id is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("sig").alias("sig"))
     heads = cut(sets.withColumn("node", F.monotonically_increasing_id()))
@@ -580,7 +580,7 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     met = runs.groupBy("s").agg(F.sum("c").alias("c")).withColumnRenamed("s", "short")
     likely = cut(heads.join(met, F.xxhash64("s") == F.col("short")).where(F.col("c") >= least).select("short", "node", "s", "id", "n", "sig"))
     rows_of_runs = runs.select("run", F.col("s").alias("short")).join(likely.select("short", "node", "n", "sig"), "short").select("run", "node", "n", "sig")
-    near = rows_of_runs.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(lambda it: _near(it, percent), "leader long, node long")
+    near = rows_of_runs.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(lambda it: releasing(_near(it, percent)), "leader long, node long")
     groups = cut(near.distinct())
     # a block that fits a task is compared there, with others that fit beside it; of larger ones, what met under each leader
     blocks = components(groups, "leader", "node").select("node", F.col("root").alias("block"))
@@ -599,7 +599,14 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     wanted = members.select("id").distinct()
     texts = docs.select("id", "text").join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "id", "left_semi")
     pairs = members.join(texts, "id").select("leader", "i", "j", "node", "s", "text")
-    edges = cut(pairs.groupBy("leader", "i", "j").applyInPandas(lambda pdf: _compare(pdf, n, percent, order.value), "a long, b long"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _compare(pdf, n, percent, order.value)
+        finally:
+            release()
+
+    edges = cut(pairs.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long"))
     found = components(edges)
     # a component is named by its smallest id; sets that link with no other keep their own rows' smallest id
     named = heads.select("s", "id", "node").join(found, "node", "left").select("s", "id", F.coalesce("root", "node").alias("root"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, map_slices, ship, table
+from tallyspark.llm.common import cut, map_slices, releasing, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms on each side of a mention that make its context.
@@ -213,7 +213,7 @@ def disclosing(
 ) -> DataFrame:
     """entity, term, p, ratio, removed, general: the terms of the corpus that disclose an entity, and what they are generalised to."""
     ship(docs.sparkSession)
-    seen = cut(_with_copies(docs).mapInArrow(lambda it: _scan(it, width), "kind byte, entity string, term string, mark long, n double"))
+    seen = cut(_with_copies(docs).mapInArrow(lambda it: releasing(_scan(it, width)), "kind byte, entity string, term string, mark long, n double"))
     # shares of copied texts add up to whole numbers but for rounding
     pairs = seen.where("kind = 1").groupBy("entity", "term", "mark").agg(F.sum("n").alias("n"))
     total = pairs.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
