@@ -9,7 +9,9 @@ Candidates are gathered into blocks once and stay where they are. Queries come t
 blocks of queries, which are broadcast (ROUND * QUERY_BYTES bytes at most); a task adds up one histogram for each
 query of the round over all of its candidate blocks before it hands it on, so that what moves in a pass is BINS
 counts for each query and task, and no list of candidates is gathered before the kth value is known. A round's
-ranges are kept by the driver, a few numbers for each of its queries.
+ranges are kept by the driver, a few numbers for each of its queries. The first pass also gives a score that k
+candidates of one task reach, so that histograms begin there. A task holds at most SCORES scores at a time,
+whatever the number of queries.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of
 other lengths than a query's are no candidates of it; a query with fewer than k candidates returns all; rows
@@ -30,16 +32,21 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import cut, ship, table
 
 BINS = 64
-#: Vectors in a block of candidates; bytes of a block of queries and blocks of a round.
-BLOCK, QUERY_BYTES, ROUND = 8192, 1 << 18, 16
+#: Vectors and bytes in a block of candidates; bytes of a block of queries and blocks of a round.
+BLOCK, BLOCK_BYTES, QUERY_BYTES, ROUND = 8192, 1 << 22, 1 << 18, 16
+#: Scores that a task holds at a time (one query's of a block, if that has more vectors).
+SCORES = 1 << 20
+#: Stands for the score of a query with its own id; no score is so small.
+LEAST = np.iinfo(np.int64).min
 #: Queries whose histograms move as one row.
 TOGETHER = 64
 
 
 def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """name, dim, ids, data: vectors (id, v: array<long>) gathered into blocks of about `rows` of one length."""
+    """name, dim, ids, data: vectors (id, v: array<long>) gathered into blocks of about `rows` (or BLOCK_BYTES) of one length."""
     n = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
-    n = n.select("dim", F.ceil(F.col("n") / rows).cast("long").alias("parts"))
+    each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.lit(1), F.col("dim"))))))
+    n = n.select("dim", F.ceil(F.col("n") / each).cast("long").alias("parts"))
     keyed = vectors.withColumn("dim", F.size("v")).join(F.broadcast(n), "dim") if n.count() <= 1000 else vectors.withColumn("dim", F.size("v")).join(n, "dim")
     keyed = keyed.withColumn(name, F.pmod(F.xxhash64("id"), F.col("parts")))
 
@@ -51,14 +58,27 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return keyed.groupBy("dim", name).applyInPandas(gather, f"dim int, {name} long, ids binary, data binary")
 
 
-def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: by doubles below 2**53, else by 64-bit numbers."""
-    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * q.shape[1]
-    if most < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+def kind(q: np.ndarray, c: np.ndarray) -> type:
+    """The numbers in which all inner products of these vectors, and all sums on the way to them, are exact."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * c.shape[1]
     if most >= 2**63:
         raise OverflowError("scores of these vectors don't fit 64 bits")
-    return q @ c.T
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
+def level(values: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whole numbers as a column to compare scores with: what lies beyond the scores' kind is as good as its end."""
+    end = {np.dtype(np.float32): 2**24, np.dtype(np.float64): 2**53}.get(like.dtype)
+    return (values if end is None else np.clip(values, -end, end).astype(like.dtype))[:, None]
+
+
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few that are true, in order; eight at a time are passed over."""
+    flat = mask.ravel()
+    full = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:full].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate([at[flat[at]], full + np.flatnonzero(flat[full:])])
+    return np.divmod(at, mask.shape[1])
 
 
 def _round(base: DataFrame, dim: int, asked: list, k: int) -> DataFrame:
@@ -69,29 +89,54 @@ def _round(base: DataFrame, dim: int, asked: list, k: int) -> DataFrame:
     queries = sc.broadcast((qid, vectors))  # ROUND * QUERY_BYTES at most
     here = base.where(F.col("dim") == dim)
     size = len(qid)
-    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
-    def scored(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, scores and which of them count, for each block of candidates."""
+    def scored(it: Iterator[pd.DataFrame], of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
+        """Some of the queries `of`, ids of a block, their scores, and where a query meets its own id; SCORES at a time."""
         qid, q = queries.value
+        qid, q, cast = qid[of], q[of], {}
         for pdf in it:
             for row in pdf.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                yield ids, scores(q, np.frombuffer(row.data, np.int64).reshape(-1, dim)), qid[:, None] != ids[None, :]
+                ids, c = np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, np.int64).reshape(-1, dim)
+                number = kind(q, c)
+                if number not in cast:
+                    cast = {number: q.astype(number)}
+                c = c.astype(number)
+                step = max(1, SCORES // len(ids))
+                first, last = np.searchsorted(ids, qid), np.searchsorted(ids, qid, "right")  # a block's ids ascend
+                for a in range(0, len(of), step):
+                    met = np.flatnonzero(last[a : a + step] > first[a : a + step])
+                    own = [(m, slice(first[a + m], last[a + m])) for m in met]
+                    yield of[a : a + step], ids, cast[number][a : a + step] @ c.T, own
+
+    def strike(s: np.ndarray, own: list) -> np.ndarray:
+        for row, cols in own:
+            s[row, cols] = LEAST if s.dtype == np.int64 else -np.inf
+        return s
 
     def ranges(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi, n = np.full(size, most), np.full(size, least), np.zeros(size, np.int64)
-        for _, s, own in scored(it):
-            lo = np.minimum(lo, np.where(own, s, most).min(axis=1))
-            hi = np.maximum(hi, np.where(own, s, least).max(axis=1))
-            n += own.sum(axis=1)
+        """lo: no more than any score; good: a score that k of this task's candidates reach, if there is one."""
+        lo, n = np.full(size, np.iinfo(np.int64).max), np.zeros(size, np.int64)
+        top = np.full((size, k), LEAST)  # the best of the largest of stretches: each is another candidate's
+        for at, ids, s, own in scored(it, np.arange(size)):
+            lo[at] = np.minimum(lo[at], s.min(axis=1).astype(np.int64))
+            s = strike(s, own)
+            n[at] += len(ids)
+            for row, cols in own:
+                n[at[row]] -= cols.stop - cols.start
+            starts = np.unique(np.linspace(0, len(ids), min(len(ids), 2 * k), endpoint=False).astype(np.int64))
+            best = np.maximum.reduceat(s, starts, axis=1)
+            own_only = best == -np.inf
+            best = np.where(own_only, 0, best).astype(np.int64)
+            best[own_only] = LEAST
+            top[at] = np.partition(np.concatenate([top[at], best], axis=1), -k, axis=1)[:, -k:]
         of = np.flatnonzero(n)
-        yield pd.DataFrame({"q": of, "lo": lo[of], "hi": hi[of], "n": n[of]})
+        yield pd.DataFrame({"q": of, "lo": lo[of], "good": top[of].min(axis=1), "hi": top[of].max(axis=1), "n": n[of]})
 
-    got = here.mapInPandas(ranges, "q long, lo long, hi long, n long").groupBy("q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
+    got = here.mapInPandas(ranges, "q long, lo long, good long, hi long, n long").groupBy("q")
+    got = got.agg(F.min("lo").alias("lo"), F.max("good").alias("good"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
     lo, hi, want = np.zeros(size, np.int64), np.full(size, -1), np.zeros(size, np.int64)
     for r in got:  # want: the kth largest of those in [lo, hi], or the smallest if there are fewer
-        lo[r["q"]], hi[r["q"]], want[r["q"]] = r["lo"], r["hi"], min(k, r["n"])
+        lo[r["q"]], hi[r["q"]], want[r["q"]] = max(r["lo"], r["good"]), r["hi"], min(k, r["n"])
 
     while (hi > lo).any():
         # BINS of them reach from lo beyond hi; differences are unsigned, so that none overflows
@@ -101,14 +146,13 @@ def _round(base: DataFrame, dim: int, asked: list, k: int) -> DataFrame:
 
         def histograms(it: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             lo, hi, width = state.value
-            open_ = np.flatnonzero(hi > lo)
             counts = np.zeros((size, BINS), np.int64)
             some = False
-            for _, s, own in scored(it):
-                at, col = np.nonzero(own[open_] & (s[open_] >= lo[open_, None]) & (s[open_] <= hi[open_, None]))
-                at = open_[at]
-                bins = (s[at, col].view(np.uint64) - lo.view(np.uint64)[at]) // width[at]
-                counts += np.bincount(at * BINS + bins.astype(np.int64), minlength=size * BINS).reshape(size, BINS)
+            for of, _, s, own in scored(it, np.flatnonzero(hi > lo)):
+                s = strike(s, own)
+                at, col = places((s >= level(lo[of], s)) & (s <= level(hi[of], s)))
+                bins = (s[at, col].astype(np.int64).view(np.uint64) - lo.view(np.uint64)[of[at]]) // width[of[at]]
+                counts[of] += np.bincount(at * BINS + bins.astype(np.int64), minlength=len(of) * BINS).reshape(len(of), BINS)
                 some = True
             if some:
                 for a in range(0, size, TOGETHER):
@@ -150,12 +194,14 @@ def _round(base: DataFrame, dim: int, asked: list, k: int) -> DataFrame:
 
     def chosen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kth, hi, want = final.value
-        for ids, s, own in scored(it):
-            own &= (hi >= kth)[:, None]
-            tie = own & (s == kth[:, None])
-            tie &= np.cumsum(tie, axis=1) <= want[:, None]  # a block's ids ascend: the smallest come first
-            at, col = np.nonzero((own & (s > kth[:, None])) | tie)
-            yield pd.DataFrame({"query_id": queries.value[0][at], "id": ids[col], "score": s[at, col]})
+        for of, ids, s, own in scored(it, np.flatnonzero(hi >= kth)):
+            s = strike(s, own)
+            at, col = places(s >= level(kth[of], s))  # a query's ids ascend: of those that tie the smallest come first
+            score = s[at, col].astype(np.int64)
+            tie = score == kth[of[at]]
+            before = np.cumsum(tie) - tie  # ties before this one, less those before its query
+            keep = ~tie | (before - before[np.searchsorted(at, at)] < want[of[at]])
+            yield pd.DataFrame({"query_id": queries.value[0][of[at[keep]]], "id": ids[col[keep]], "score": score[keep]})
 
     return here.mapInPandas(chosen, "query_id long, id long, score long")
 
