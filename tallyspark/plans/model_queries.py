@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tallyspark.functions.scalar import ID, TARGET, client
 from tallyspark.operators import evaluation, moe, sampling
 from tallyspark.plans import sql
-from tallyspark.sources.ledger import order_ledger
+from tallyspark.sources.ledger import order_consumers
 
 SEED = 42
 
 
 def _labelled(spark, sf_dir):
-    return order_ledger(spark, sf_dir)[0].where(F.col(TARGET).isNotNull()).withColumn("score", F.floor("total_balance").cast("double") % 97 / 97)
+    return order_consumers(spark, sf_dir).where(F.col(TARGET).isNotNull()).withColumn("score", F.floor("total_balance").cast("double") % 97 / 97)
 
 
 def _split(spark, sf_dir):

@@ -81,13 +81,17 @@ def _id(key: str):
     return F.concat(F.lit("C0"), (F.col(key) % 3 + 1).cast("string"), F.lit("_"), F.lpad(F.col(key).cast("string"), 8, "0"))
 
 
+def order_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consumers of order_ledger, for what needs no transactions."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    target = F.when(F.col("c_custkey") % 17 == 0, None).when((F.col("c_custkey") * 7919) % 10 < 3, 1.0).otherwise(0.0)
+    evaluation = F.to_timestamp_ntz(F.date_sub(F.lit("2000-06-30").cast("date"), (F.col("c_custkey") % 90).cast("int")).cast("string"))
+    return customer.select(_id("c_custkey").alias(ID), evaluation.alias(EVAL), F.col("c_acctbal").alias("total_balance"), target.alias(TARGET))
+
+
 def order_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Consumers and transactions made of customer, orders and lineitem: a long history at midnight."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    customer = read("customer")
-    target = F.when(F.col("c_custkey") % 17 == 0, None).when((F.col("c_custkey") * 7919) % 10 < 3, 1.0).otherwise(0.0)
-    evaluation = F.to_timestamp_ntz(F.date_sub(F.lit("2000-06-30").cast("date"), (F.col("c_custkey") % 90).cast("int")).cast("string"))
-    consumers = customer.select(_id("c_custkey").alias(ID), evaluation.alias(EVAL), F.col("c_acctbal").alias("total_balance"), target.alias(TARGET))
     lines = read("lineitem").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     codes = F.array(*map(F.lit, (3, 10, 12, 16, 23, 26, 18, 31)))
     category = F.get(codes, ((F.col("l_partkey") + F.col("l_linenumber")) % 8).cast("int"))
@@ -96,7 +100,7 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         _id("o_custkey").alias(ID), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("masked_transaction_id"),
         F.col("l_shipdate").alias("posted_date"), F.when(category.isin(3, 10), amount).otherwise(-amount).alias("amount"), category.alias("category"),
     )
-    return consumers, tx
+    return order_consumers(spark, sf_dir), tx
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
