@@ -1,3 +1,4 @@
+import random
 import threading
 
 from pyspark.sql import functions as F
@@ -37,3 +38,13 @@ def test_features_take_few_stages(spark):
     ran = [s for j in tracker.getJobIdsForGroup("smote_features") for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
     print("stages", len(ran))
     assert len(ran) <= 26
+
+
+def test_neighbours_among_more_features_than_are_written_out(spark):
+    rng, k, dims = random.Random(2), 4, sampling.FEW + 4
+    rows = [(key, f"{key}{i:03d}", [float(rng.randrange(3)) for _ in range(dims - 1)] + [rng.gauss(0, 20)]) for key in "ab" for i in range(120)]
+    got = sampling.nearest(spark.createDataFrame(rows, "key string, id string, x array<double>"), ["key"], k, block=8).collect()
+    near = {(r["key"], r["id"]): [o["id"] for o in r["near"]] for r in got}
+    for key, own, x in rows:
+        d = sorted((sum((a - b) * (a - b) for a, b in zip(x, y, strict=True)), i) for other, i, y in rows if other == key and i != own)
+        assert near[key, own] == [i for _, i in d[:k]]
